@@ -117,8 +117,8 @@ class WarcReader:
         """Inflate one more block; false at the stream's end."""
         if self._inflate.eof or not (self._raw or self._more()):
             return False
-        self._plain += self._inflate.decompress(self._inflate.unconsumed_tail or self._raw, 4 * self._block)
-        self._raw = self._inflate.unconsumed_tail
+        self._plain += self._inflate.decompress(self._raw)
+        self._raw = b""
         return True
 
     def _upto(self, mark: bytes) -> bytes:
