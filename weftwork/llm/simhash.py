@@ -191,7 +191,8 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "do
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id that links reach), a row for each row."""
     tagged = add_fingerprints(docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text")))
     rows = _grouped(tagged, "doc_id")
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # a table of its own: a join on the exchange of its aggregation could not be split where one group is large
+    least = materialize(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
     return rows.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex(FP), 16, "0")).alias("fingerprint"), "component_id")
 
 
