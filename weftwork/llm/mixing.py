@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from weftwork.llm.common import WORD, materialize, quoted, without
 
 LEVELS = ("mix_domain", "mix_lang", "mix_source")
-BUCKET_DIGITS = 3
+BUCKET_DIGITS = 2
 BIG = "decimal(38,0)"
 
 
