@@ -169,8 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     sample = F.broadcast(sample.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows))
     own = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
     stats = with_statistics(own.join(sample, "doc_id", "left_semi")).join(sample, "doc_id")
-    found = stats.where(f"n_words >= {LEAST_WORDS}").select("doc_id", "y", *[F.expr(e).alias(f"x{i}") for i, e in enumerate(TESTS.values())]).limit(4 * rows).collect()
-    found.sort()
+    found = stats.where(f"n_words >= {LEAST_WORDS}").select("doc_id", "y", *[F.expr(e).alias(f"x{i}") for i, e in enumerate(TESTS.values())])
+    found = found.orderBy(*found.columns).limit(4 * rows).collect()
     table = np.array([r[1:] for r in found], float).reshape(-1, 1 + len(TESTS))
     return learn({t: table[:, i + 1] for i, t in enumerate(TESTS)}, table[:, 0] == 0)
 

@@ -44,6 +44,10 @@ def _say(*w: Column) -> Column:
     return F.concat_ws(" ", *w)
 
 
+def _below(hashes: Column, top: int) -> Column:
+    return F.filter(hashes, lambda h: h <= F.lit(top))
+
+
 def item_shingles(items: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
     """(item_id, n, gram, shingles, hashes): distinct shingles of each item that has words; n of them."""
     own = items.select(quoted(item_id).alias("item_id"), words(quoted(text)).alias("w")).where("size(w) > 0").distinct()
@@ -80,7 +84,7 @@ def contained(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str
     probe = F.broadcast(sketch) if sum(c.rows for c in classes) <= BROADCAST_ROWS else sketch
     rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text")).where("text is not null")
     split = rows.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
-    low = [F.filter(_grams("w", g, F.xxhash64), lambda h, top=top: h <= F.lit(top)) for g, top in sorted(tops.items())]
+    low = [_below(_grams("w", g, F.xxhash64), top) for g, top in sorted(tops.items())]
     seen = split.select("doc_id", "text_key", F.explode(F.array_distinct(F.concat(*low))).alias("hash"))
     hits = seen.join(probe, "hash").groupBy("doc_id", "text_key", "item_id").agg(F.countDistinct("hash").alias("hits"), F.max("need").alias("need"))
     pairs = materialize(hits.where("hits >= need").select("doc_id", "text_key", "item_id"), "pairs")
