@@ -134,6 +134,6 @@ def test_mix(spark):
 def test_native_plans(spark):
     docs, items = rows_of(2)
     df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for out in (C.clean(df, it), M.mix(df.selectExpr("*", "'en' lang", "'s1' source"), {}, 50)):
+    for out in (C.clean(df, it), M.mix(df.selectExpr("*", "cast(doc_id % 3 as string) lang", "concat('s', doc_id % 5) source"), {}, 50)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan

@@ -81,22 +81,29 @@ def quotas(leaves: DataFrame, budget: int, max_epochs: int, weights: Mapping[str
 
 def mix(docs: DataFrame, weights: Mapping[str, int], budget_percent: int, max_epochs: int = 2, seed: int = 17, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source", domain: Column | None = None) -> DataFrame:
     """``docs`` that are taken, with mix_domain, n_tokens and n_copies (1 or more).  budget_percent: of all tokens."""
-    docs = without(docs, *LEVELS, "n_tokens", "n_copies", "mix_order", "mix_bucket")
+    docs = without(docs, *LEVELS, "n_tokens", "n_copies", "mix_order", "mix_bucket", "epochs", "rest", "cut", "last")
     at = source_domain(quoted(source)) if domain is None else domain
     placed = docs.select("*", F.coalesce(at, F.lit("other")).alias(LEVELS[0]), F.coalesce(quoted(lang), F.lit("none")).alias(LEVELS[1]), F.coalesce(quoted(source), F.lit("none")).alias(LEVELS[2]), F.coalesce(F.regexp_count(quoted(text), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
-    leaves = materialize(placed.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "leaves")
+    slim = materialize(placed.where("n_tokens > 0").select(*LEVELS, "n_tokens", quoted(doc_id).alias("mix_id")), "tokens")
+    leaves = materialize(slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     plan = quotas(leaves, total * budget_percent // 100, max_epochs, weights)
     plan = materialize(plan.select(*LEVELS, F.expr("cast(quota div tokens as int)").alias("epochs"), F.expr("cast(quota % tokens as long)").alias("rest")), "quotas")
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), quoted(doc_id).cast("string")).cast("binary"))
-    taking = placed.where("n_tokens > 0").join(plan, list(LEVELS)).withColumn("mix_order", order).withColumn("mix_bucket", F.conv(F.substring("mix_order", 1, BUCKET_DIGITS), 16, 10).cast("int"))
+
+    def ordered(rows: DataFrame, by: Column) -> DataFrame:
+        order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), by.cast("string")).cast("binary"))
+        told = rows.join(plan, list(LEVELS)).withColumn("mix_order", order)
+        return told.withColumn("mix_bucket", F.conv(F.substring("mix_order", 1, BUCKET_DIGITS), 16, 10).cast("int"))
+
+    taking = ordered(slim, F.col("mix_id"))
     sums = taking.groupBy(*LEVELS, "mix_bucket").agg(F.sum("n_tokens").alias("own"), F.first("rest").alias("rest"))
-    run = Window.partitionBy(*LEVELS).orderBy("mix_bucket")
-    cut = sums.withColumn("upto", F.sum("own").over(run)).where("upto > rest").groupBy(*LEVELS).agg(F.min("mix_bucket").alias("cut"), F.min(F.struct("mix_bucket", (F.col("upto") - F.col("own")).alias("before")))["before"].alias("before"))
-    cut = materialize(cut, "cuts")
-    told = taking.join(cut, list(LEVELS), "left").where((F.col("epochs") > 0) | (F.col("mix_bucket") <= F.coalesce("cut", F.lit(1 << 30))))
-    sure = told.where("cut is null or mix_bucket <> cut").withColumn("n_copies", F.col("epochs") + F.when(F.coalesce(F.col("mix_bucket") < F.col("cut"), F.lit(True)), 1).otherwise(0))
-    inside = told.where("mix_bucket = cut").withColumn("upto", F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("mix_order")))
-    edge = inside.withColumn("n_copies", F.col("epochs") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)).drop("upto")
-    taken = sure.unionByName(edge).where("n_copies > 0")
+    upto = sums.withColumn("upto", F.sum("own").over(Window.partitionBy(*LEVELS).orderBy("mix_bucket"))).where("upto > rest")
+    cut = materialize(upto.groupBy(*LEVELS).agg(F.min(F.struct("mix_bucket", (F.col("upto") - F.col("own")).alias("before"))).alias("c")).select(*LEVELS, F.col("c.mix_bucket").alias("cut"), "c.before"), "cuts")
+    inside = taking.join(cut, list(LEVELS)).where("mix_bucket = cut")
+    inside = inside.withColumn("upto", F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("mix_order")))
+    ends = inside.where("upto <= rest").groupBy(*LEVELS).agg(F.max("mix_order").alias("last"))
+    ends = materialize(cut.join(ends, list(LEVELS), "left").select(*LEVELS, "cut", F.coalesce("last", F.lit("")).alias("last")), "ends")
+    told = ordered(placed.where("n_tokens > 0"), quoted(doc_id)).join(ends, list(LEVELS))
+    again = (F.col("mix_bucket") < F.col("cut")) | ((F.col("mix_bucket") == F.col("cut")) & (F.col("mix_order") <= F.col("last")))
+    taken = told.withColumn("n_copies", F.col("epochs") + F.when(again, 1).otherwise(0)).where("n_copies > 0")
     return taken.select(*[quoted(c) for c in docs.columns], LEVELS[0], "n_tokens", "n_copies")
