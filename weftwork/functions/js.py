@@ -174,7 +174,7 @@ def java_pattern(pattern: str, flags: str = "") -> str:
         else:
             out.append(c)
         i += 1
-    text = ("(?i)" if "i" in flags else "") + "".join(out)
+    text = ("(?iu)" if "i" in flags else "") + "".join(out)
     compiled(text)
     return text
 
