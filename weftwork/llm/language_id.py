@@ -121,12 +121,15 @@ def train(windows: np.ndarray, labels: list[str], epochs: int = 14, seed: int =
 
 
 def fit(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> ByteConvNet | None:
-    """A network from at most ``rows`` labelled rows (those whose ids hash lowest) and TRAIN_WINDOWS windows of each,
+    """A network from at most ``rows`` labelled rows (picked by the hash of their ids) and TRAIN_WINDOWS windows of each,
     spread over its text.  None where there is no such row."""
+    rows_there = docs.where(may_learn & quoted(lang).isNotNull()).count()
+    # about half as many again as are needed pass this cut, so that what tasks send to the driver does not grow with them
+    low = F.pmod(F.xxhash64(quoted(doc_id)), F.lit(1 << 24)) <= F.lit(int(min(1.0, 1.5 * rows / max(1, rows_there)) * (1 << 24)))
     n = F.length("t")
     cut = F.array(*[F.substring(F.col("t"), (n * i / TRAIN_WINDOWS).cast("int") + 1, F.lit(WINDOW)) for i in range(TRAIN_WINDOWS)])
     found = (
-        docs.where(may_learn & quoted(lang).isNotNull() & quoted(text).isNotNull())
+        docs.where(may_learn & low & quoted(lang).isNotNull() & quoted(text).isNotNull())
         .select(quoted(lang).alias("y"), quoted(text).alias("t"), F.xxhash64(quoted(doc_id)).alias("o"))
         .where(F.col("t").rlike(r"\p{L}"))
         .select("y", "o", F.array_distinct(cut).alias("w"))
