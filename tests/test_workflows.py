@@ -323,3 +323,33 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and e.entry(spark).count() > 0
+
+
+def test_service_configuration():
+    from weftwork.plans.model import api_key_of, complete_once, is_auth_failure
+
+    assert endpoint_of("ollama") == "http://localhost:11434/v1/chat/completions" and endpoint_of("openai", "http://h/v1/") == endpoint_of("openai", "http://h") == "http://h/v1/chat/completions"
+    assert api_key_of(" k ", "V", {}) == "k" and api_key_of(None, "V", {"V": " x "}) == "x" and api_key_of(None, None, {"OPENROUTER_API_KEY": "r"}) == "r" and api_key_of(None, None, {}) is None
+    for call in (lambda: api_key_of(None, "V", {"V": " "}), lambda: endpoint_of("other")):
+        with pytest.raises(ValueError):
+            call()
+    assert is_auth_failure("HTTP 403: x") and not is_auth_failure("took 401 ms")
+    assert reasoning_fields(ModelOptions(reasoning_mode="openai", think=True)) == {"reasoning": {"enabled": True}}
+    assert complete_once(StubClient(lambda p: f" {p} "), "p", temperature=0.1) == "p"
+    assert rewrite.unfenced("```text\nA\nB\n```") == "A\nB" and rewrite.unfenced("```A```") in ("", "A") and rewrite.unfenced("x ```a``` ") == "x ```a```"
+
+
+def test_deep_delegation(spark, tmp_path):
+    def link(i):
+        return {"model": "m", "stages": [{"id": "s", "instructions": "x"}, {"id": "d", "instructions": "x", "mode": "workflow_delegate", "delegate": {"workflowPath": f"w{i + 1}.yaml", "inputFromPath": "outputsByStage.s"}}]}
+
+    for n, fine in ((3, True), (4, False)):
+        for i in range(n):
+            (tmp_path / f"w{i}.yaml").write_text(json.dumps(link(i)))
+        (tmp_path / f"w{n}.yaml").write_text(json.dumps({"model": "m", "stages": [{"id": "end", "instructions": "x"}]}))
+        runner = runtime.WorkflowRunner(spark, ScriptedClient(["1"] * 9), False)
+        if fine:
+            assert runner.run(str(tmp_path / "w0.yaml"), artifacts=False)[0].outputs["d"] == 1
+        else:
+            with pytest.raises(runtime.DelegationError, match="max depth 3"):
+                runner.run(str(tmp_path / "w0.yaml"), artifacts=False)

@@ -46,8 +46,8 @@ def prefixed_turns(v: Column, config: dict) -> tuple[Column, Column]:
     spot = F.when(bad_item > 0, F.when(bad_prefix < bad_item, bad_prefix).otherwise(bad_item)).otherwise(bad_prefix)
     error = (
         F.when(paths.kind(v) != "object", " is not an object")
-        .when(paths.at(v, path).isNull(), f" is missing conversation path '{path}'")
-        .when(source.isNull(), f" path '{path}' must be an array")
+        .when(paths.at(v, path).isNull(), f" path '{path}' could not be resolved")
+        .when(source.isNull(), f" path '{path}' must resolve to an array")
         .when((bad_item > 0) & (bad_item == spot), F.concat(F.lit(" conversation item "), (spot - 1).cast("string"), F.lit(" is not a string")))
         .when(spot > 0, F.concat(F.lit(" conversation item "), (spot - 1).cast("string"), F.lit(" does not match any configured prefix")))
     )

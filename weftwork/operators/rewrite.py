@@ -18,7 +18,7 @@ from weftwork.functions import js
 from weftwork.operators import rules as R
 from weftwork.plans import prompts
 
-_WHOLE_FENCE = regex.compile(r"\A```[^\n`]*\n([\s\S]*?)\n?```\Z")
+_WHOLE_FENCE = regex.compile(r"\A```[A-Za-z0-9_-]*\s*([\s\S]*?)\s*```\Z")
 
 
 @dataclass

@@ -12,8 +12,10 @@ from typing import Any, Protocol
 
 from weftwork.functions import js
 
-DEFAULT_ENDPOINTS = {"openai": "https://api.openai.com/v1", "ollama": "http://localhost:11434/v1"}
-AUTH_SIGNS = ("401", "403", "unauthorized", "forbidden", "invalid api key", "authentication")
+DEFAULT_ENDPOINT = "http://localhost:11434"
+KEY_VARIABLES = ("OPENAI_API_KEY", "OPENROUTER_API_KEY")
+# Signs of a refused key in a failure message.
+AUTH_SIGNS = ("http 401", "http 403", "unauthorized", "forbidden", "invalid api key", "authentication")
 
 
 class ModelError(RuntimeError):
@@ -68,15 +70,35 @@ def reasoning_fields(options: ModelOptions) -> dict:
     """What a request carries for the reasoning mode."""
     if options.reasoning_mode == "think":
         return {"think": options.think}
-    if options.reasoning_mode == "openai" and options.think:
-        return {"reasoning_effort": "medium"}
-    return {}
+    return {"reasoning": {"enabled": options.think}} if options.reasoning_mode == "openai" else {}
 
 
 def endpoint_of(provider: str, endpoint: str | None = None) -> str:
-    """The chat completion address of a base address."""
-    base = (endpoint or DEFAULT_ENDPOINTS[provider]).rstrip("/")
-    return base if base.endswith("/chat/completions") else f"{base}/chat/completions"
+    """The chat completion address of a base address; both providers speak the same protocol below ``v1``."""
+    if provider not in ("openai", "ollama"):
+        raise ValueError(f"Unsupported provider: {provider}. Expected one of: openai, ollama.")
+    base = js.trim(endpoint or "").rstrip("/") or DEFAULT_ENDPOINT
+    if base.endswith("/chat/completions"):
+        return base
+    return f"{base}/chat/completions" if base.endswith("/v1") else f"{base}/v1/chat/completions"
+
+
+def api_key_of(given: str | None, variable: str | None, env: Mapping[str, str] | None = None) -> str | None:
+    """The key that is given, else that of the workflow's variable (which must be set), else of a usual variable."""
+    env = os.environ if env is None else env
+    if js.trim(given or ""):
+        return js.trim(given)
+    if js.trim(variable or ""):
+        found = js.trim(env.get(js.trim(variable), ""))
+        if not found:
+            raise ValueError(f"Pipeline requires API key env '{js.trim(variable)}', but it is not set or is empty.")
+        return found
+    return next((v for n in KEY_VARIABLES if (v := js.trim(env.get(n, "")))), None)
+
+
+def complete_once(client: ModelClient, prompt: str, options: ModelOptions | None = None, system: str = "", **more: Any) -> str:
+    """One answer without a session."""
+    return js.trim(client.complete(prompt, (options or ModelOptions()).merged(**more), system))
 
 
 @dataclass

@@ -18,7 +18,7 @@ from weftwork.functions import js
 from weftwork.operators.remap import InputDatasetRemapError
 from weftwork.plans import config, dag
 from weftwork.plans.engine import Result, StageEngine, StageError
-from weftwork.plans.model import HttpClient, ModelClient, ModelOptions, endpoint_of, model_name
+from weftwork.plans.model import HttpClient, ModelClient, ModelOptions, api_key_of, endpoint_of, model_name
 from weftwork.sources.records import InputDatasetParseError, InputDatasetValidationError, load_records, records_of, to_jsonl, write_jsonl
 from weftwork.streaming.record_stream import CheckpointError, can_stream, run_stream
 
@@ -60,8 +60,8 @@ class RunOptions:
 
 
 def client_of(document: dict, options: RunOptions) -> HttpClient:
-    provider = options.provider or document.get("provider", "openai")
-    key = options.api_key or (os.environ.get(document["apiKeyEnv"]) if document.get("apiKeyEnv") else None)
+    provider = options.provider or document.get("provider") or os.environ.get("WEFTWORK_PROVIDER", "openai").lower()
+    key = api_key_of(options.api_key, document.get("apiKeyEnv"))
     headers = {"HTTP-Referer": options.http_referer or document.get("httpReferer"), "X-Title": options.x_title or document.get("xTitle")}
     return HttpClient(endpoint_of(provider, options.endpoint or document.get("endpoint")), key, {k: v for k, v in headers.items() if v})
 
@@ -86,7 +86,7 @@ class WorkflowRunner:
             child = os.path.realpath(os.path.join(os.path.dirname(real), block["workflowPath"]))
             if child in (*ancestry, real):
                 raise DelegationError(f"Delegation cycle detected for workflow '{child}'")
-            if len(ancestry) + 1 >= DEEPEST:
+            if len(ancestry) + 1 > DEEPEST:
                 raise DelegationError(f"Delegation max depth {DEEPEST} exceeded at '{child}'")
             own = options.inherited(block.get("inheritParentCli", "none"))
             as_input = block.get("inputAs", "initial_context") == "pipeline_input"
