@@ -43,6 +43,9 @@ def test_rules_and_columns_agree(spark, skip):
                 assert a["message"] == b.message, rule
     both = df.select(validators.issues(RULES, F.col("v"), {"before": F.col("b")}, skip).alias("i")).first().i
     assert [i["kind"] for i in rules.validate(VALUE, RULES, REFS, skip)] == [i.kind for i in both]
+    staged = validators.with_issues(df, RULES, "v", {"before": "b"}, "i", skip).first().i
+    assert [(i.kind, i.message, i.similarityStatus) for i in staged] == [(i.kind, i.message, i.similarityStatus) for i in both]
+    assert [i.similarityScore or 0 for i in staged] == pytest.approx([i.similarityScore or 0 for i in both])
 
 
 def test_verdicts():

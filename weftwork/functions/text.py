@@ -7,7 +7,7 @@ batches, a bit for each token (``weftwork.functions.js.lcs_length``).
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,8 +69,12 @@ def bigrams(t: Column) -> Column:
 
 
 def trigrams(normal: Column) -> Column:
-    """Three characters each (of the basic plane; others count as one here)."""
-    return F.when(F.length(normal) < 3, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(normal) - 2), lambda i: F.substring(normal, i, F.lit(3))))
+    """Three characters each (of the basic plane; others count as one here), by joining the text's characters with those
+    after them: taking substrings would walk the text for each."""
+    n, chars = F.length(normal) - 2, F.split(normal, "")
+    part = lambda i: F.slice(chars, F.lit(i), n)
+    three = F.zip_with(F.zip_with(part(1), part(2), lambda x, y: F.concat(x, y)), part(3), lambda x, y: F.concat(x, y))
+    return F.when(n < 1, F.array().cast("array<string>")).otherwise(three)
 
 
 def dice(a: Column, b: Column) -> Column:
@@ -95,6 +99,28 @@ def detailed_similarity(left: Column, right: Column, fast: Column) -> Column:
     return F.when(fast == 1.0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), mixed)))
 
 
+def with_detailed_similarity(df: DataFrame, left: str, right: str, to: str) -> DataFrame:
+    """``df`` with the detailed similarity of two columns of normalised text.  Every set is a column of its own before it
+    is used, so that it is built once a row; as one nested expression each would be built for every mention."""
+    c = F.col
+    out = df.withColumns({"_ta": tokens(c(left)), "_tb": tokens(c(right))})
+    out = out.withColumns({"_ba": F.array_distinct(bigrams(c("_ta"))), "_bb": F.array_distinct(bigrams(c("_tb"))), "_ca": F.array_distinct(trigrams(c(left))), "_cb": F.array_distinct(trigrams(c(right))), "_wa": content_words(c("_ta")), "_wb": content_words(c("_tb"))})
+    pairs = {"_b": ("_ba", "_bb"), "_c": ("_ca", "_cb"), "_w": ("_wa", "_wb"), "_t": ("_ta", "_tb")}
+    out = out.withColumns({k: F.size(F.array_intersect(a, b)) for k, (a, b) in pairs.items()} | {"_u": F.size(F.array_union("_ta", "_tb")), "_l": lcs_length("_ta", "_tb")})
+    n = lambda x: F.size(c(x))
+
+    def ratio(k: str, whole: Column, empty: Column | float, scale: int = 1) -> Column:
+        a, b = pairs[k]
+        return F.when((n(a) == 0) & (n(b) == 0), empty).when((n(a) == 0) | (n(b) == 0), 0.0).otherwise(scale * c(k) / whole)
+
+    longest = F.greatest(n("_ta"), n("_tb"))
+    out = out.withColumn("_f", F.when(c(left) == c(right), 1.0).otherwise(F.greatest(ratio("_t", c("_u"), 1.0), F.when(longest == 0, 1.0).otherwise(c("_l") / longest))))
+    recall = F.when((n("_wa") == 0) & (n("_wb") == 0), c("_f")).when((n("_wa") == 0) | (n("_wb") == 0), 0.0).otherwise(F.least(c("_w") / n("_wa"), c("_w") / n("_wb")))
+    mixed = 0.35 * c("_f") + 0.25 * ratio("_b", n("_ba") + n("_bb"), 1.0, 2) + 0.2 * ratio("_c", n("_ca") + n("_cb"), 1.0, 2) + 0.2 * recall
+    score = F.when(c("_f") == 1.0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), mixed)))
+    return out.withColumn(to, score).drop("_ta", "_tb", "_ba", "_bb", "_ca", "_cb", "_wa", "_wb", *pairs, "_u", "_l", "_f")
+
+
 def similarity(left: Column, right: Column, mode: str = "fast") -> Column:
     """Of raw texts."""
     left, right = normalize(left), normalize(right)

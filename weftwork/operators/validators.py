@@ -6,7 +6,7 @@ reaches it instead of failing the query.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.functions import js, paths, text
@@ -35,8 +35,9 @@ def _missing(rule: dict, path: str | None, skip: bool, kind: str = "path_missing
     return _no_issue() if skip else _issue(rule, kind, what or f"Path '{path}' does not exist", hint)
 
 
-def compile_rule(rule: dict, value: Column, refs: dict[str, Column] | None = None, skip_inapplicable: bool = False) -> Column:
-    """ARRAY of issues of one rule over a variant column.  refs: variant columns; NULL is not available."""
+def compile_rule(rule: dict, value: Column, refs: dict[str, Column] | None = None, skip_inapplicable: bool = False, score: Column | None = None) -> Column:
+    """ARRAY of issues of one rule over a variant column.  refs: variant columns; NULL is not available.  score: a column
+    that has the rule's similarity already."""
     target = paths.at(value, rule.get("path"))
     kind = rule["kind"]
     if kind in R.ARRAY_KINDS:
@@ -52,7 +53,7 @@ def compile_rule(rule: dict, value: Column, refs: dict[str, Column] | None = Non
         own = paths.string(target)
         out = F.when(own.isNull(), _issue(rule, "invalid_target_type", R.wrong_type(rule))).otherwise(_string(rule, own))
     else:
-        out = _comparison(rule, value, target, refs or {}, skip_inapplicable)
+        out = _comparison(rule, value, target, refs or {}, skip_inapplicable, score)
     if rule.get("path"):
         out = F.when(paths.present(target), out).otherwise(_missing(rule, rule["path"], skip_inapplicable))
     if when := rule.get("when"):
@@ -81,7 +82,7 @@ def _string(rule: dict, own: Column) -> Column:
     return F.when(bad, _issue(rule, kind, say)).otherwise(_no_issue())
 
 
-def _comparison(rule: dict, value: Column, target: Column, refs: dict[str, Column], skip: bool) -> Column:
+def _comparison(rule: dict, value: Column, target: Column, refs: dict[str, Column], skip: bool, score: Column | None = None) -> Column:
     kind = rule["kind"]
     to, other = R.other_of(rule)
     if to == "path":
@@ -107,7 +108,7 @@ def _comparison(rule: dict, value: Column, target: Column, refs: dict[str, Colum
     if kind.startswith(R.CHANGE_KINDS):
         result = F.when(text.normalize(a) == text.normalize(b), _issue(rule, kind, R.message(rule))).otherwise(_no_issue())
     else:
-        score = text.similarity(a, b, (rule.get("similarity") or {}).get("mode", "fast"))
+        score = score if score is not None else text.similarity(a, b, (rule.get("similarity") or {}).get("mode", "fast"))
         bad = score > rule["threshold"] if kind.startswith("max") else score < rule["threshold"]
         how, (to, other) = ("exceeds maximum" if kind.startswith("max") else "is below minimum"), R.other_of(rule)
         say = F.concat(F.lit("Similarity "), F.round(score.cast("decimal(38,20)"), 3).cast("decimal(10,3)").cast("string"), F.lit(f" {how} {js.number_text(rule['threshold'])} when compared to {to} '{other}'"))
@@ -125,3 +126,35 @@ def issues(rules: list[dict], value: Column, refs: dict[str, Column] | None = No
     if not rules:
         return _no_issue()
     return F.flatten(F.array(*[compile_rule(r, value, refs, skip_inapplicable) for r in rules]))
+
+
+def with_issues(df: DataFrame, rules: list[dict], value: str, refs: dict[str, str] | None = None, to: str = "issues", skip_inapplicable: bool = False) -> DataFrame:
+    """``df`` with the issues of all rules over the variant column ``value``.  Similarity scores become columns first, step
+    by step (normal text, tokens, score), so that each is computed once a row however often an issue mentions it."""
+    columns = {k: F.col(v) for k, v in (refs or {}).items()}
+    scores: dict[int, str] = {}
+    for i, rule in enumerate(rules):
+        if not rule["kind"].startswith(R.SIMILARITY_KINDS):
+            continue
+        kind, other = R.other_of(rule)
+        parts = js.path_parts(other)
+        if kind == "ref" and (not parts or parts[0] not in columns):
+            continue
+        against = paths.at(F.col(value), other) if kind == "path" else paths.at(columns[parts[0]], ".".join(parts[1:]))
+        try:
+            sides = [text.normalize(text.scoped(paths.string(x), rule.get("scope"))[0]) for x in (paths.at(F.col(value), rule.get("path")), against)]
+        except js.PatternError:
+            continue
+        a, b, scores[i] = f"_left_{i}", f"_right_{i}", f"_score_{i}"
+        df = df.withColumns({a: sides[0], b: sides[1]})
+        if (rule.get("similarity") or {}).get("mode", "fast") == "detailed":
+            df = text.with_detailed_similarity(df, a, b, scores[i])
+        else:
+            df = df.withColumns({f"{a}t": text.tokens(F.col(a)), f"{b}t": text.tokens(F.col(b))})
+            df = df.withColumns({f"{a}j": text.jaccard(F.col(f"{a}t"), F.col(f"{b}t")), f"{a}l": text.lcs_length(f"{a}t", f"{b}t")})
+            longest = F.greatest(F.size(f"{a}t"), F.size(f"{b}t"))
+            fast = F.when(F.col(a) == F.col(b), 1.0).otherwise(F.greatest(F.col(f"{a}j"), F.when(longest == 0, 1.0).otherwise(F.col(f"{a}l") / longest)))
+            df = df.withColumn(scores[i], fast).drop(f"{a}t", f"{b}t", f"{a}j", f"{a}l")
+        df = df.drop(a, b)
+    each = [compile_rule(r, F.col(value), columns, skip_inapplicable, F.col(scores[i]) if i in scores else None) for i, r in enumerate(rules)]
+    return df.withColumn(to, F.flatten(F.array(*each)) if each else _no_issue()).drop(*scores.values())

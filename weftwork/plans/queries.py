@@ -142,8 +142,7 @@ def content_recall(spark, sf):
       0.35::DOUBLE * fast + 0.25::DOUBLE * ({_dice('ba', 'bb')}) + 0.2::DOUBLE * ({_dice('ca', 'cb')}) + 0.2::DOUBLE * ({_RECALL}))) END AS detailed FROM h"""
 )
 def similarity_detailed(spark, sf):
-    p = same_role_pairs(spark, sf).withColumn("fast", text.fast_similarity(F.col("a"), F.col("b")))
-    return p.select("conv_id", "turn", text.detailed_similarity(F.col("a"), F.col("b"), F.col("fast")).alias("detailed"))
+    return text.with_detailed_similarity(same_role_pairs(spark, sf), "a", "b", "detailed").select("conv_id", "turn", "detailed")
 
 
 _TAGS = {"includePattern": {"pattern": "<p>[^<]*</p>"}}
@@ -171,7 +170,7 @@ def scope_exclude(spark, sf):
 def judged(df: DataFrame, keys: list[str], record: Column, rules: list[dict], refs: dict[str, Column] | None = None, skip: bool = False) -> DataFrame:
     """keys, n_issues and the first issue's kind of ``rules`` over a record column."""
     v = df.select(*keys, paths.parse(record).alias("v"), *[paths.parse(c).alias(f"ref_{k}") for k, c in (refs or {}).items()])
-    out = v.select(*keys, validators.issues(rules, F.col("v"), {k: F.col(f"ref_{k}") for k in refs or {}}, skip).alias("i"))
+    out = validators.with_issues(v, rules, "v", {k: f"ref_{k}" for k in refs or {}}, "i", skip)
     return out.select(*keys, F.size("i").cast("long").alias("n_issues"), F.get("i", F.lit(0))["kind"].alias("first_kind"))
 
 
