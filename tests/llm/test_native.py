@@ -117,13 +117,16 @@ def slow_mix(docs, weights, percent, epochs, seed):
     return sorted(out, key=str), q3
 
 
-def test_mix(spark):
+def test_mix(spark, monkeypatch):
     rnd = random.Random(3)
     docs = [(i, " ".join("w" * 1 for _ in range(rnd.randint(0, 40))), rnd.choice(["en", "de", None]), rnd.choice(["src1", "src1", "src1", "src2", "src3", "web", None])) for i in range(400)]
     docs += [(7, "a b c", "en", "src1"), (7, "a b c", "en", "src1"), (None, "x y", "en", "src2"), (801, None, "en", "src9")]
     weights = {"domain1": 6, "domain2": 1, "domain3": 0, "domain1/en": 3, "other/de": 5, "domain2/en/src2": 9}
     df = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, lang string, source string, n_copies string")
-    for percent, epochs in ((40, 1), (100, 2), (300, 2), (0, 2)):
+    docs += [(7, "a b c", "en", "src1")] * 6
+    df = df.union(spark.createDataFrame([(*d, "clash") for d in docs[-6:]], df.schema))
+    for percent, epochs, rows in ((40, 1, 100_000), (100, 2, 100_000), (300, 2, 3), (0, 2, 3), (40, 1, 1), (75, 1, 3)):
+        monkeypatch.setattr(M, "CUT_ROWS", rows)  # few rows: buckets are dealt again
         got = sorted([(r.doc_id, r.mix_domain, r.n_tokens, r.n_copies) for r in M.mix(df, weights, percent, epochs, 5).collect()], key=str)
         want, quota = slow_mix(docs, weights, percent, epochs, 5)
         assert got == want, (percent, epochs)

@@ -7,9 +7,9 @@ deal the rest, so shortages are made up among siblings before ancestors.  All am
 in decimals, so the result is the same everywhere.
 
 A leaf with quota q of T tokens gives every document q div T times, and once more the documents in the prefix of a
-seeded order (of that epoch) whose tokens sum to at most q mod T.  The prefix is found without sorting a leaf: the
-order's hash is cut into buckets, the buckets' sums are combined before the shuffle, and only the one bucket per leaf in
-which the prefix ends is sorted.
+seeded order (of that epoch) whose tokens sum to at most q mod T.  The prefix is found without sorting a leaf: rows are
+dealt by the first two digits of the order's hash, the sums are combined before the shuffle, and the one bucket per leaf
+in which the prefix ends is dealt again by the next two digits until it holds at most CUT_ROWS rows.  Only that is sorted.
 
 All of it is built-in expressions.  Tokens are words.  Defined results: null language or source is the node ``none``;
 documents without tokens are never taken; weights that are not given are 1, a weight of 0 gives nothing; rows of equal
@@ -29,6 +29,9 @@ from weftwork.llm.common import WORD, materialize, quoted, without
 
 LEVELS = ("mix_domain", "mix_lang", "mix_source")
 BUCKET_DIGITS = 2
+ORDER_DIGITS = 32
+#: More rows of a leaf than these are not sorted in one window but dealt into buckets again.
+CUT_ROWS = 100_000
 BIG = "decimal(38,0)"
 
 
@@ -79,9 +82,31 @@ def quotas(leaves: DataFrame, budget: int, max_epochs: int, weights: Mapping[str
     return dealt.select(*LEVELS, "tokens", "quota")
 
 
+def _cut(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From ``rows`` (LEVELS, n_tokens, rest, mix_order) the bucket of each leaf in which its prefix ends, as (LEVELS,
+    cut, before: the leaf's tokens ahead of it, ...), and the rows in it.  Places of the order that many rows share
+    cannot be parted and need not be."""
+    rows = rows.withColumn("before", F.lit(0).cast("long"))
+    for digits in range(BUCKET_DIGITS, ORDER_DIGITS + 1, BUCKET_DIGITS):
+        name = F.substring("mix_order", 1, digits)
+        sums = rows.groupBy(*LEVELS, name.alias("cut")).agg(
+            F.sum("n_tokens").alias("own"), F.first("rest").alias("rest"), F.first("before").alias("ahead"),
+            F.count("*").alias("n"), F.min("mix_order").alias("least"), F.max("mix_order").alias("most"),
+        )
+        ahead = F.col("ahead") + F.sum("own").over(Window.partitionBy(*LEVELS).orderBy("cut"))
+        beyond = sums.withColumn("upto", ahead).where("upto > rest").withColumn("before", F.col("upto") - F.col("own"))
+        first = beyond.groupBy(*LEVELS).agg(F.min(F.struct("cut", "before", ((F.col("n") > CUT_ROWS) & (F.col("least") < F.col("most"))).alias("large"))).alias("c"))
+        cut = materialize(first.select(*LEVELS, "c.*"), "cuts")
+        rows = rows.drop("before").join(cut.drop("large"), list(LEVELS)).where(name == F.col("cut")).drop("cut")
+        if digits == ORDER_DIGITS or cut.where("large").isEmpty():
+            break
+        rows = materialize(rows, "inside")
+    return cut, rows
+
+
 def mix(docs: DataFrame, weights: Mapping[str, int], budget_percent: int, max_epochs: int = 2, seed: int = 17, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source", domain: Column | None = None) -> DataFrame:
     """``docs`` that are taken, with mix_domain, n_tokens and n_copies (1 or more).  budget_percent: of all tokens."""
-    docs = without(docs, *LEVELS, "n_tokens", "n_copies", "mix_order", "mix_bucket", "epochs", "rest", "cut", "last")
+    docs = without(docs, *LEVELS, "n_tokens", "n_copies", "mix_order", "epochs", "rest", "cut", "last")
     at = source_domain(quoted(source)) if domain is None else domain
     placed = docs.select("*", F.coalesce(at, F.lit("other")).alias(LEVELS[0]), F.coalesce(quoted(lang), F.lit("none")).alias(LEVELS[1]), F.coalesce(quoted(source), F.lit("none")).alias(LEVELS[2]), F.coalesce(F.regexp_count(quoted(text), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
     slim = materialize(placed.where("n_tokens > 0").select(*LEVELS, "n_tokens", quoted(doc_id).alias("mix_id")), "tokens")
@@ -92,18 +117,14 @@ def mix(docs: DataFrame, weights: Mapping[str, int], budget_percent: int, max_ep
 
     def ordered(rows: DataFrame, by: Column) -> DataFrame:
         order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), by.cast("string")).cast("binary"))
-        told = rows.join(plan, list(LEVELS)).withColumn("mix_order", order)
-        return told.withColumn("mix_bucket", F.conv(F.substring("mix_order", 1, BUCKET_DIGITS), 16, 10).cast("int"))
-
-    taking = ordered(slim, F.col("mix_id"))
-    sums = taking.groupBy(*LEVELS, "mix_bucket").agg(F.sum("n_tokens").alias("own"), F.first("rest").alias("rest"))
-    upto = sums.withColumn("upto", F.sum("own").over(Window.partitionBy(*LEVELS).orderBy("mix_bucket"))).where("upto > rest")
-    cut = materialize(upto.groupBy(*LEVELS).agg(F.min(F.struct("mix_bucket", (F.col("upto") - F.col("own")).alias("before"))).alias("c")).select(*LEVELS, F.col("c.mix_bucket").alias("cut"), "c.before"), "cuts")
-    inside = taking.join(cut, list(LEVELS)).where("mix_bucket = cut")
-    inside = inside.withColumn("upto", F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("mix_order")))
-    ends = inside.where("upto <= rest").groupBy(*LEVELS).agg(F.max("mix_order").alias("last"))
+        return rows.join(plan, list(LEVELS)).withColumn("mix_order", order)
+
+    cut, inside = _cut(ordered(slim, F.col("mix_id")))
+    places = inside.groupBy(*LEVELS, "mix_order").agg(F.sum("n_tokens").alias("own"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+    upto = F.col("before") + F.sum("own").over(Window.partitionBy(*LEVELS).orderBy("mix_order"))
+    ends = places.withColumn("upto", upto).where("upto <= rest").groupBy(*LEVELS).agg(F.max("mix_order").alias("last"))
     ends = materialize(cut.join(ends, list(LEVELS), "left").select(*LEVELS, "cut", F.coalesce("last", F.lit("")).alias("last")), "ends")
     told = ordered(placed.where("n_tokens > 0"), quoted(doc_id)).join(ends, list(LEVELS))
-    again = (F.col("mix_bucket") < F.col("cut")) | ((F.col("mix_bucket") == F.col("cut")) & (F.col("mix_order") <= F.col("last")))
+    again = (F.col("mix_order") < F.col("cut")) | (F.col("mix_order") <= F.col("last"))  # a bucket's name is a prefix
     taken = told.withColumn("n_copies", F.col("epochs") + F.when(again, 1).otherwise(0)).where("n_copies > 0")
     return taken.select(*[quoted(c) for c in docs.columns], LEVELS[0], "n_tokens", "n_copies")
