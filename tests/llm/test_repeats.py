@@ -118,5 +118,12 @@ def test_empty(spark):
     assert repeat_digest(df).collect() == [] and copied_words_digest(df).collect() == []
 
 
+def test_nothing_repeats(spark):
+    """No gram occurs twice, so no bucket has a verdict to send back; short and null texts have no gram."""
+    rows = [(i, " ".join(f"{i}w{j}x" for j in range(80))) for i in range(6)] + [(9, None), (10, "a b")]
+    assert {r.n_removed for r in copied_words_digest(frame(spark, rows)).collect()} == {0}
+    assert {r.n_removed for r in repeat_digest(frame(spark, rows)).collect()} == {0}
+
+
 def test_intervals():
     assert list(lcp_intervals([0, 3, 1, 2])) == [(3, 0, 1), (2, 2, 3), (1, 0, 3)]

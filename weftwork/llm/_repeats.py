@@ -259,10 +259,14 @@ def index_chunk(s: Shape, texts: list[bytes | None], keep: dict[int, np.ndarray]
     return Index(row, pos, h, ctx, left, right, order[new], inverse)
 
 
-def dealt(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by bucket (stable), and the buckets' bounds in it."""
+def dealt(h: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order by bucket (stable), and (bucket, from, to) in that order of each bucket that has any."""
     b = (h % np.uint64(n)).astype(np.int64)
-    return np.argsort(b, kind="stable"), np.searchsorted(np.sort(b), np.arange(n + 1))
+    order = np.argsort(b, kind="stable")
+    b = b[order]
+    first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))[: len(b)])
+    ends = np.append(first[1:], len(b))[: len(first)]
+    return order, list(zip(b[first].tolist(), first.tolist(), ends.tolist(), strict=True))
 
 
 def resolve(s: Shape, h: np.ndarray, ctx: np.ndarray, doc: np.ndarray, chunk: np.ndarray) -> np.ndarray:
@@ -365,13 +369,12 @@ def find(s: Shape, chunks: DataFrame, text: str, doc_id: str, compare: Compare)
                 t = unpack(blob.as_buffer())
                 ix = index_chunk(s, text_of(t, text))
                 doc = ids_of(t, doc_id)[ix.row[ix.rep]]
-                order, at = dealt(ix.h[ix.rep], n)
+                order, parts = dealt(ix.h[ix.rep], n)
                 rows = []
-                for k in range(n):
-                    e = order[at[k] : at[k + 1]]
-                    if len(e):
-                        a = ix.rep[e]
-                        rows.append({"kind": 1, "bucket": k, "chunk": chunk, "n": len(e), "blob": dump(ix.h[a], ix.ctx[a], doc[e])})
+                for k, lo, hi in parts:
+                    e = order[lo:hi]
+                    a = ix.rep[e]
+                    rows.append({"kind": 1, "bucket": k, "chunk": chunk, "n": len(e), "blob": dump(ix.h[a], ix.ctx[a], doc[e])})
                 yield from table_of(rows).to_batches()
 
     def settle(group: pa.Table) -> pa.Table:
@@ -379,7 +382,8 @@ def find(s: Shape, chunks: DataFrame, text: str, doc_id: str, compare: Compare)
         sizes, chunk = group["n"].to_numpy(), group["chunk"].to_numpy()
         status = resolve(s, *(np.concatenate([p[i] for p in parts]) for i in range(3)), np.repeat(chunk, sizes))
         ends = np.cumsum(sizes)
-        return table_of([{"kind": 1, "bucket": b, "chunk": c, "n": m, "blob": dump(status[e - m : e])} for b, c, m, e in zip(group["bucket"].to_pylist(), chunk.tolist(), sizes.tolist(), ends.tolist(), strict=True)])
+        told = zip(group["bucket"].to_pylist(), chunk.tolist(), sizes.tolist(), ends.tolist(), strict=True)
+        return table_of([{"kind": 1, "bucket": b, "chunk": c, "n": m, "blob": dump(status[e - m : e])} for b, c, m, e in told if status[e - m : e].any()])  # silence says 0
 
     def back(docs: pa.Table, told: pa.Table) -> pa.Table:
         rows: list[dict] = []
@@ -388,10 +392,11 @@ def find(s: Shape, chunks: DataFrame, text: str, doc_id: str, compare: Compare)
             keep: dict[int, np.ndarray] = {}
             ix = index_chunk(s, text_of(t, text), keep)
             ids = ids_of(t, doc_id)
-            order, at = dealt(ix.h[ix.rep], n)
+            order, parts = dealt(ix.h[ix.rep], n)
+            own = {k: order[lo:hi] for k, lo, hi in parts}
             status = np.zeros(len(ix.rep), np.uint8)
             for k, m, packed in zip(told["bucket"].to_pylist(), told["n"].to_pylist(), told["blob"], strict=True):
-                status[order[at[k] : at[k + 1]]] = load(packed.as_buffer(), m, ("u1", 1))[0]
+                status[own[k]] = load(packed.as_buffer(), m, ("u1", 1))[0]
             first = ix.rep[ix.inverse]
             mine = status[ix.inverse]
             doc = ids[ix.row]
@@ -399,20 +404,19 @@ def find(s: Shape, chunks: DataFrame, text: str, doc_id: str, compare: Compare)
             covered = (mine == 1) | repeat
             spans = [(ix.row[covered], (ix.pos - ix.left)[covered], (ix.pos + ix.right)[covered])]
             pick = np.flatnonzero(~covered & (mine == 2))
-            order2, at2 = dealt(ix.h[pick], n)
-            for k in range(n):
-                e = pick[order2[at2[k] : at2[k + 1]]]
-                if len(e):
-                    tok = _gather(s, ix, keep, e)
-                    rows.append({"kind": 2, "bucket": k, "chunk": chunk, "n": len(e), "blob": dump(ix.h[e], doc[e], ix.row[e], ix.pos[e], ix.left[e], ix.right[e], tok)})
+            order, parts = dealt(ix.h[pick], n)
+            for k, lo, hi in parts:
+                e = pick[order[lo:hi]]
+                tok = _gather(s, ix, keep, e)
+                rows.append({"kind": 2, "bucket": k, "chunk": chunk, "n": len(e), "blob": dump(ix.h[e], doc[e], ix.row[e], ix.pos[e], ix.left[e], ix.right[e], tok)})
             hot = np.flatnonzero(~covered & (mine == 3))
             for at3 in range(0, len(hot), 20_000):
                 part = hot[at3 : at3 + 20_000]
                 i, rel, one, two = _windows(s, _gather(s, ix, keep, part), ix.left[part], ix.right[part])
                 a = part[i]
                 start = ix.pos[a] + rel
-                own = np.unique((ix.row[a].astype(np.int64) << np.int64(40)) + start, return_index=True)[1]  # a window has several anchors
-                a, start, one, two = a[own], start[own], one[own], two[own]
+                once = np.unique((ix.row[a].astype(np.int64) << np.int64(40)) + start, return_index=True)[1]  # a window has several anchors
+                a, start, one, two = a[once], start[once], one[once], two[once]
                 o = np.lexsort((start, ix.row[a], two, one))
                 same = np.zeros(len(o), bool)
                 same[1:] = (one[o][1:] == one[o][:-1]) & (two[o][1:] == two[o][:-1])
@@ -420,11 +424,10 @@ def find(s: Shape, chunks: DataFrame, text: str, doc_id: str, compare: Compare)
                     same[1:] &= doc[a][o][1:] > doc[a][o][np.maximum.accumulate(np.where(~same, np.arange(len(o)), 0))][1:]
                 spans.append((ix.row[a][o][same], start[o][same], start[o][same] + s.window))
                 e = o[~same]
-                order4, at4 = dealt(one[e], n)
-                for k in range(n):
-                    x = e[order4[at4[k] : at4[k + 1]]]
-                    if len(x):
-                        rows.append({"kind": 3, "bucket": k, "chunk": chunk, "n": len(x), "blob": dump(one[x], two[x], doc[a][x], ix.row[a][x], start[x])})
+                order, parts = dealt(one[e], n)
+                for k, lo, hi in parts:
+                    x = e[order[lo:hi]]
+                    rows.append({"kind": 3, "bucket": k, "chunk": chunk, "n": len(x), "blob": dump(one[x], two[x], doc[a][x], ix.row[a][x], start[x])})
             rows.append(_span_row(chunk, *merge_spans(*(np.concatenate(x) for x in zip(*spans, strict=True)))))
         return table_of(rows)
 
