@@ -28,42 +28,66 @@ from pyspark.sql import types as T
 
 from weftwork.llm.common import materialize, quoted, without
 from weftwork.llm.components import connected_components
+from weftwork.llm.set_similarity import components
 
 SHINGLE = 4
 MOST_BITS = 4
+SEGMENTS = 3
 SEED = 42
 DENSE = 16_384
-FP, UID = "simhash_bits", "simhash_row"
+FP, UID, KEY = "simhash_bits", "simhash_row", "simhash_key"
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint as a signed 64-bit number."""
-    words = b" ".join((text or b"").lower().split())
-    if not words:
-        return 0
+def _words(text: bytes | None) -> bytes:
+    return b" ".join((text or b"").lower().split())
+
+
+def _hashes(words: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of ``words`` (not empty), in parts."""
     gaps = np.flatnonzero(np.frombuffer(words, np.uint8) == 32)
     n = len(gaps) + 1
     start = np.concatenate(([0], gaps + 1))[: max(1, n - shingle + 1)].tolist()
     end = np.concatenate((gaps, [len(words)]))[min(shingle, n) - 1 :].tolist()
     digest, view = xxhash.xxh64_intdigest, memoryview(words)
-    counts, m = np.zeros(64, np.int64), len(start)
-    for a in range(0, m, 16_384):
-        h = np.array([digest(view[i:j], SEED) for i, j in zip(start[a : a + 16_384], end[a : a + 16_384], strict=True)], np.uint64)
+    for a in range(0, len(start), 16_384):
+        yield np.array([digest(view[i:j], SEED) for i, j in zip(start[a : a + 16_384], end[a : a + 16_384], strict=True)], np.uint64)
+
+
+def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Distinct hashes of the shingles, sorted; none for a blank text."""
+    words = _words(text)
+    return np.unique(np.concatenate(list(_hashes(words, shingle)))) if words else np.zeros(0, np.uint64)
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint as a signed 64-bit number."""
+    words = _words(text)
+    if not words:
+        return 0
+    counts, m = np.zeros(64, np.int64), 0
+    for h in _hashes(words, shingle):
+        m += len(h)
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > m, bitorder="little").view(np.int64)[0])
 
 
-def add_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``simhash_bits`` and ``simhash_row`` (a number of its own for each row), as a written table."""
-    docs = without(docs, FP, UID).select("*", F.monotonically_increasing_id().alias(UID))
+def add_fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, key: bool = False) -> DataFrame:
+    """``docs`` with ``simhash_bits`` and ``simhash_row`` (a number of its own for each row), as a written table; with
+    ``key`` also ``simhash_key`` (128-bit hash of the words)."""
+    docs = without(docs, FP, UID, *[KEY] * key).select("*", F.monotonically_increasing_id().alias(UID))
     at = docs.columns.index(text)
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = [fingerprint(x) for x in b.column(at).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bits, pa.int64())], names=[*b.schema.names, FP])
+            own = b.column(at).cast(pa.binary()).to_pylist()
+            new = [pa.array([fingerprint(x, shingle) for x in own], pa.int64())]
+            if key:
+                new.append(pa.array([xxhash.xxh3_128_digest(_words(x)) for x in own], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *added])
 
-    return materialize(docs.mapInArrow(tag, T.StructType([*docs.schema.fields, T.StructField(FP, T.LongType())])), "simhash")
+    added = [FP, KEY] if key else [FP]
+    types = [T.StructField(FP, T.LongType()), T.StructField(KEY, T.BinaryType())][: len(added)]
+    return materialize(docs.mapInArrow(tag, T.StructType([*docs.schema.fields, *types])), "simhash")
 
 
 def _segments(bits: int, parts: int) -> list[tuple[int, int]]:
@@ -72,10 +96,10 @@ def _segments(bits: int, parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def variants(fp: str) -> list:
+def variants(fp: str, parts: int = SEGMENTS) -> list:
     """The one-wildcard variants of each segment: segment, wildcard and masked bits packed in an int."""
     out = []
-    for s, (at, width) in enumerate(_segments(64, 3)):
+    for s, (at, width) in enumerate(_segments(64, parts)):
         part = F.shiftrightunsigned(F.col(fp), at).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
         for b in range(width):
             out.append(part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << b))).bitwiseOR(F.lit(s << 27 | b << 22)))
@@ -91,8 +115,8 @@ def _flat(up: np.ndarray) -> np.ndarray:
         up = over
 
 
-def forest(fps: np.ndarray, ids: np.ndarray, up: np.ndarray) -> list[tuple[int, int]]:
-    """Links of ``fps[ids]`` under MOST_BITS differing bits that join trees of ``up`` (parents, changed in place).  All are
+def forest(fps: np.ndarray, ids: np.ndarray, up: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int]]:
+    """Links of ``fps[ids]`` under ``most`` differing bits that join trees of ``up`` (parents, changed in place).  All are
     compared, in blocks, but blocks whose members are all in one tree are passed over."""
     out: list[tuple[int, int]] = []
     for a in range(0, len(ids), 512):
@@ -102,7 +126,7 @@ def forest(fps: np.ndarray, ids: np.ndarray, up: np.ndarray) -> list[tuple[int,
             up[:] = _flat(up)
             if (up[one] == up[one[0]]).all() and (up[two] == up[one[0]]).all():
                 continue
-            i, j = np.nonzero((np.bitwise_count(fps[one][:, None] ^ fps[two][None, :]) <= MOST_BITS) & (up[one][:, None] != up[two][None, :]))
+            i, j = np.nonzero((np.bitwise_count(fps[one][:, None] ^ fps[two][None, :]) <= most) & (up[one][:, None] != up[two][None, :]))
             pair = np.unique(up[one[i]] * len(up) + up[two[j]], return_index=True)[1]
             for x, y in zip(one[i[pair]].tolist(), two[j[pair]].tolist(), strict=True):
                 rx, ry = x, y
@@ -116,9 +140,11 @@ def forest(fps: np.ndarray, ids: np.ndarray, up: np.ndarray) -> list[tuple[int,
     return out
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, most: int = MOST_BITS, parts: int = SEGMENTS) -> DataFrame:
     """``fps`` (simhash_bits, distinct) to verified links (u, v) that span the components."""
-    keyed = fps.select(FP, F.explode(F.array(*variants(FP))).alias("variant"))
+    if most // parts > 1 or not 3 <= parts <= 16:
+        raise ValueError(f"{parts} segments do not hold {most} bits with one at most in one of them")
+    keyed = fps.select(FP, F.explode(F.array(*variants(FP, parts))).alias("variant"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest_k, rest_f = np.zeros(0, np.int32), np.zeros(0, np.int64)
@@ -126,15 +152,15 @@ def links(fps: DataFrame) -> DataFrame:
             k = np.concatenate((rest_k, b.column(1).to_numpy()))
             f = np.concatenate((rest_f, b.column(0).to_numpy()))
             cut = int(np.searchsorted(k, k[-1], "left")) if len(k) else 0  # the last key may go on in the next batch
-            yield from _bucket_links(k[:cut], f[:cut])
+            yield from _bucket_links(k[:cut], f[:cut], most, parts)
             rest_k, rest_f = k[cut:], f[cut:]
-        yield from _bucket_links(rest_k, rest_f)
+        yield from _bucket_links(rest_k, rest_f, most, parts)
 
     n = max(fps.sparkSession.sparkContext.defaultParallelism, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return keyed.repartition(n, "variant").sortWithinPartitions("variant").mapInArrow(meet, "u long, v long")
 
 
-def _bucket_links(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _bucket_links(k: np.ndarray, f: np.ndarray, most: int, parts: int) -> Iterator[pa.RecordBatch]:
     """k: sorted keys, f: fingerprints."""
     if len(k) < 2:
         return
@@ -142,12 +168,12 @@ def _bucket_links(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
     size = np.diff(edge)
     two = edge[:-1][size == 2]
     a, b = f[two], f[two + 1]
-    ok = np.bitwise_count((a ^ b).view(np.uint64)) <= MOST_BITS
+    ok = np.bitwise_count((a ^ b).view(np.uint64)) <= most
     us, vs = [a[ok]], [b[ok]]
     for at, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
         own = f[at : at + n].view(np.uint64)
         seg = int(k[at]) >> 27
-        found = bucket_forest(own, [x for i, x in enumerate(_segments(64, 3)) if i != seg])
+        found = bucket_forest(own, [x for i, x in enumerate(_segments(64, parts)) if i != seg], DENSE, most, parts)
         if found:
             i, j = np.array(found).T
             us.append(own[i].view(np.int64))
@@ -157,13 +183,13 @@ def _bucket_links(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def bucket_forest(fps: np.ndarray, left: list[tuple[int, int]], dense: int = DENSE) -> list[tuple[int, int]]:
+def bucket_forest(fps: np.ndarray, left: list[tuple[int, int]], dense: int = DENSE, most: int = MOST_BITS, parts: int = SEGMENTS) -> list[tuple[int, int]]:
     """Links that span the components of a bucket.  More than ``dense`` members are indexed again: they may differ by
-    MOST_BITS in the ``left`` ranges, so of three near-equal pieces of those bits one differs by at most one bit."""
+    ``most`` in the ``left`` ranges, so of ``parts`` near-equal pieces of those bits one differs by at most one bit."""
     up, out = np.arange(len(fps)), []
     if len(fps) <= dense:
-        return forest(fps, up.copy(), up)
-    for piece in np.array_split(np.concatenate([np.arange(a, a + w) for a, w in left]), 3):
+        return forest(fps, up.copy(), up, most)
+    for piece in np.array_split(np.concatenate([np.arange(a, a + w) for a, w in left]), parts):
         seg = np.zeros(len(fps), np.uint64)
         for i, bit in enumerate(piece):
             seg |= ((fps >> np.uint64(bit)) & np.uint64(1)) << np.uint64(i)
@@ -172,7 +198,7 @@ def bucket_forest(fps: np.ndarray, left: list[tuple[int, int]], dense: int = DEN
             order = np.argsort(key, kind="stable")
             for run in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
                 if len(run) > 1:
-                    out += forest(fps, run, up)
+                    out += forest(fps, run, up, most)
     return out
 
 
@@ -202,3 +228,27 @@ def keep_one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "d
     rows = _grouped(tagged, UID, doc_id)
     kept = rows.groupBy("root").agg(F.min(F.struct(quoted(doc_id).isNull(), quoted(doc_id), F.col(UID)))[UID].alias(UID))
     return tagged.join(kept, UID, "left_semi").drop(FP, UID)
+
+
+def keep_one_of_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, most: int = 6, parts: int = 4) -> DataFrame:
+    """The row with the smallest ``doc_id`` (null last, any one of rows that tie) of each component of texts whose sets of
+    shingles have a Jaccard similarity of 0.8 or more, all columns kept.
+
+    The similarity decides, not the fingerprint: links of fingerprints are verified by it, and pairs that differ in more
+    than ``most`` bits (at similarity 0.8 about ten do, which no split of 64 bits finds without comparing all with all) come
+    from the prefix filter.  Blank texts are alike."""
+    tagged = add_fingerprints(docs, text, shingle, key=True)
+    nodes = materialize(tagged.groupBy(KEY).agg(F.min(F.struct(UID, FP)).alias("x")).select(KEY, F.col(f"x.{UID}").alias("node"), F.col(f"x.{FP}").alias(FP)), "nodes")
+    texts = tagged.select(F.col(UID).alias("node"), F.col(KEY).alias("key"), quoted(text).alias("text")).join(nodes.select("node"), "node", "left_semi")
+
+    # of each fingerprint one node, linked with its other nodes and with those of linked fingerprints
+    one = materialize(nodes.groupBy(FP).agg(F.min("node").alias("first")), "firsts")
+    own = nodes.join(one, FP).select(F.col("first").alias("u"), F.col("node").alias("v")).where("u <> v")
+    far = links(one.select(FP), most, parts)
+    near = far.join(one.select(F.col(FP).alias("u"), F.col("first").alias("a")), "u").join(one.select(F.col(FP).alias("v"), F.col("first").alias("b")), "v")
+    found = components(texts, lambda t: shingle_set(t, shingle), own.union(near.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+
+    root = materialize(nodes.join(found, "node", "left").select(KEY, F.coalesce("root", "node").alias("root")), "roots")
+    rows = tagged.select(UID, quoted(doc_id), KEY).join(root, KEY)
+    kept = rows.groupBy("root").agg(F.min(F.struct(quoted(doc_id).isNull(), quoted(doc_id), F.col(UID)))[UID].alias(UID))
+    return tagged.join(kept, UID, "left_semi").drop(FP, UID, KEY)
