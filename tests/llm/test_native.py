@@ -65,6 +65,15 @@ def test_contained_empty(spark):
     assert C.clean(it.withColumnRenamed("item_id", "doc_id"), none.withColumnRenamed("doc_id", "item_id")).count() == 1
 
 
+def test_items_without_or_with_shared_id(spark):
+    long = "a b c d e f g h i j k l m n"
+    items = spark.createDataFrame([(None, "p q r s t u v"), (None, long), (7, long), (7, "lone word")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x p q r s t u v y"), (2, "only a lone word here"), (3, f"x {long}"), (4, "none of it")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in C.contained(docs, items).collect()), key=str)
+    assert got == [(1, None, 3, 3), (2, 7, 1, 1), (3, 7, 10, 10), (3, None, 10, 10)]
+    assert [r.doc_id for r in C.clean(docs, items).collect()] == [4]
+
+
 def fill(amount, kids):
     """kids: name -> (cap, weight); exact, each rounded down."""
     live, out, left = {k for k, (_, w) in kids.items() if w}, dict.fromkeys(kids, 0), amount

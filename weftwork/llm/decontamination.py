@@ -13,7 +13,8 @@ whether candidates are broadcast is left to Spark, which knows the size of the t
 
 Words are runs of letters and digits of the lower-cased text.  Defined results: items of 1 to 4 words are one shingle
 of all their words; items and documents without words match nothing; null texts count as empty; rows that repeat a
-(doc_id, text) are reported once; an empty table gives an empty table; columns of ``docs`` are never looked at but
+(doc_id, text) are reported once; items with a null ``item_id`` are searched for like others, and texts that share an
+``item_id`` are each an item of their own; an empty table gives an empty table; columns of ``docs`` are never looked at but
 ``text`` and ``doc_id``.
 """
 
@@ -49,9 +50,10 @@ def _below(hashes: Column, top: int) -> Column:
 
 
 def item_shingles(items: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """(item_id, n, gram, shingles, hashes): distinct shingles of each item that has words; n of them."""
-    own = items.select(quoted(item_id).alias("item_id"), words(quoted(text)).alias("w")).where("size(w) > 0").distinct()
-    per = [own.where(F.least(F.size("w"), F.lit(SHINGLE)) == g).select("item_id", F.lit(g).alias("gram"), F.array_distinct(_grams("w", g, _say)).alias("shingles"), F.array_distinct(_grams("w", g, F.xxhash64)).alias("hashes")) for g in range(1, SHINGLE + 1)]
+    """(item_id, item_key, n, gram, shingles, hashes): distinct shingles of each item that has words; n of them.
+    item_key: hash of id and words, which tells texts of one id and items without id apart."""
+    own = items.select(quoted(item_id).alias("item_id"), words(quoted(text)).alias("w")).where("size(w) > 0").distinct().withColumn("item_key", F.xxhash64("item_id", "w"))
+    per = [own.where(F.least(F.size("w"), F.lit(SHINGLE)) == g).select("item_id", "item_key", F.lit(g).alias("gram"), F.array_distinct(_grams("w", g, _say)).alias("shingles"), F.array_distinct(_grams("w", g, F.xxhash64)).alias("hashes")) for g in range(1, SHINGLE + 1)]
     out = per[0]
     for x in per[1:]:
         out = out.union(x)
@@ -59,13 +61,13 @@ def item_shingles(items: DataFrame, text: str = "text", item_id: str = "item_id"
 
 
 def sketches(shingles: DataFrame) -> DataFrame:
-    """(item_id, gram, size_class, hash, need): each item's bottom-k hashes and how many of them a match holds."""
+    """(item_key, gram, size_class, hash, need): each item's bottom-k hashes and how many of them a match holds."""
     missing = (F.col("n") - F.ceil(F.col("n") * F.lit(LEAST).cast("decimal(3,2)"))).cast("int")
     k = F.least(F.col("n"), F.col("missing") + F.lit(SPARE))
     return (
         shingles.withColumn("missing", missing)
         .withColumn("size_class", F.floor(F.log2("n")).cast("int"))
-        .select("item_id", "gram", "size_class", (k - F.col("missing")).alias("need"), F.explode(F.slice(F.array_sort("hashes"), F.lit(1), k)).alias("hash"))
+        .select("item_key", "gram", "size_class", (k - F.col("missing")).alias("need"), F.explode(F.slice(F.array_sort("hashes"), F.lit(1), k)).alias("hash"))
     )
 
 
@@ -86,13 +88,13 @@ def contained(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str
     split = rows.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
     low = [_below(_grams("w", g, F.xxhash64), top) for g, top in sorted(tops.items())]
     seen = split.select("doc_id", "text_key", F.explode(F.array_distinct(F.concat(*low))).alias("hash"))
-    hits = seen.join(probe, "hash").groupBy("doc_id", "text_key", "item_id").agg(F.countDistinct("hash").alias("hits"), F.max("need").alias("need"))
-    pairs = materialize(hits.where("hits >= need").select("doc_id", "text_key", "item_id"), "pairs")
+    hits = seen.join(probe, "hash").groupBy("doc_id", "text_key", "item_key").agg(F.countDistinct("hash").alias("hits"), F.max("need").alias("need"))
+    pairs = materialize(hits.where("hits >= need").select("doc_id", "text_key", "item_key"), "pairs")
 
     both = pairs.alias("p").join(rows.withColumn("text_key", F.xxhash64("text")).alias("d"), (F.col("p.text_key") == F.col("d.text_key")) & F.col("p.doc_id").eqNullSafe(F.col("d.doc_id")))
-    texts = both.select("p.doc_id", "p.text_key", "p.item_id", words(F.col("d.text")).alias("w"))
-    small = found.select("item_id", "gram", "shingles", "n")
-    checked = texts.join(F.broadcast(small) if sum(c.rows for c in classes) <= BROADCAST_ROWS else small, "item_id")
+    texts = both.select("p.doc_id", "p.text_key", "p.item_key", words(F.col("d.text")).alias("w"))
+    small = found.select("item_key", "item_id", "gram", "shingles", "n")
+    checked = texts.join(F.broadcast(small) if sum(c.rows for c in classes) <= BROADCAST_ROWS else small, "item_key")
     own = F.lit(None).cast("array<string>")
     for g in sorted(tops):
         own = F.when(F.col("gram") == g, _grams("w", g, _say)).otherwise(own)
