@@ -1,11 +1,11 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
+"""Benchmark decontamination: bottom-k MinHash containment search, verified by exact shingle containment.
 
 A document is contaminated by an item if it holds at least 0.8 of the item's distinct five-word shingles.  Documents
-are far longer than items, so their Jaccard similarity says little; what counts is containment.  Items are parted by
-the number of their shingles into size classes (powers of two).  An item of n shingles may miss at most
+are far longer than items, so their Jaccard similarity says little; what counts is containment.  An item of n shingles may miss at most
 ``n - ceil(0.8 n)`` of them, so of its ``n - ceil(0.8 n) + SPARE`` smallest hashes (its bottom-k MinHash) a
-contaminated document holds at least SPARE; that makes the search complete rather than probable.  Each class has its
-own sketch length and its own largest sketch value; documents emit only the shingle hashes below the largest of them.
+contaminated document holds at least SPARE; that makes the search complete rather than probable.  The length of a
+sketch follows from its item's own n; documents emit only the shingle hashes up to the largest sketch value.  The search
+is not parted by size: see README.
 Candidates are then verified by the shingles' words.
 
 All of it is built-in expressions.  The sketches are broadcast only when their counted rows are below BROADCAST_ROWS;
