@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from weftwork.llm import set_similarity
 
@@ -58,6 +60,26 @@ def test_stage_against_brute_force(spark):
 
 
 def test_one_large_group_and_a_common_passage(spark, monkeypatch):
-    monkeypatch.setattr(set_similarity, "PAIRS", 1)
+    monkeypatch.setattr(set_similarity, "DENSE", 5)  # buckets are dealt again
+    monkeypatch.setattr(set_similarity, "PAIRS", 0)
     rows = rows_of(2, 2, 60, 0) + [(1000 + i, t) for i, t in rows_of(3, 8, 5, 1)]
     assert kept(spark, rows) == slow_kept(rows)
+
+
+def test_forest_of_a_crowd():
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 1 << 62, 60, dtype=np.uint64)
+    sets = [np.unique(np.where(rnd.random(60) < rnd.choice([0.02, 0.08, 0.3]), rnd.integers(0, 1 << 62, 60, dtype=np.uint64), base)) for _ in range(80)]
+    given = np.arange(80) // 3 * 3
+
+    def comps(edges):
+        up = list(range(80))
+        for i, j in edges:
+            old, new = up[i], up[j]
+            up = [new if x == old else x for x in up]
+        return len(set(up))
+
+    start = [(i, int(r)) for i, r in enumerate(given)]
+    want = [(i, j) for i in range(80) for j in range(i) if set_similarity.similar(sets[i], sets[j])]
+    got = set_similarity.bucket_forest(given, sets)
+    assert set(map(frozenset, got)) <= set(map(frozenset, want)) and comps(start + got) == comps(start + want) == comps(start) - len(got)

@@ -17,7 +17,7 @@ fingerprint and component; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +28,16 @@ from pyspark.sql import types as T
 
 from weftwork.llm.common import materialize, quoted, without
 from weftwork.llm.components import connected_components
-from weftwork.llm.set_similarity import components
+from weftwork.llm.set_similarity import components, sketch
 
 SHINGLE = 4
 MOST_BITS = 4
 SEGMENTS = 3
 SEED = 42
 DENSE = 16_384
-FP, UID, KEY = "simhash_bits", "simhash_row", "simhash_key"
+#: Fingerprints for each task of the exchange of variants (64 rows each).
+TASK_FINGERPRINTS = 20_000
+FP, UID, KEY, SIZE, BAND, MARK = "simhash_bits", "simhash_row", "simhash_key", "simhash_size", "simhash_band", "simhash_mark"
 
 
 def _words(text: bytes | None) -> bytes:
@@ -62,32 +64,40 @@ def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """The fingerprint as a signed 64-bit number."""
     words = _words(text)
-    if not words:
-        return 0
+    return _majority(_hashes(words, shingle)) if words else 0
+
+
+def _majority(hashes: Iterable[np.ndarray]) -> int:
     counts, m = np.zeros(64, np.int64), 0
-    for h in _hashes(words, shingle):
+    for h in hashes:
         m += len(h)
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > m, bitorder="little").view(np.int64)[0])
 
 
-def add_fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, key: bool = False) -> DataFrame:
+def add_fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, sketches: bool = False) -> DataFrame:
     """``docs`` with ``simhash_bits`` and ``simhash_row`` (a number of its own for each row), as a written table; with
-    ``key`` also ``simhash_key`` (128-bit hash of the words)."""
-    docs = without(docs, FP, UID, *[KEY] * key).select("*", F.monotonically_increasing_id().alias(UID))
+    ``sketches`` also ``simhash_key`` (128-bit hash of the words), ``simhash_size`` (distinct shingles) and their sketch."""
+    added = {FP: "long"} | ({KEY: "binary", SIZE: "int", BAND: "array<long>", MARK: "binary"} if sketches else {})
+    docs = without(docs, UID, *added).select("*", F.monotonically_increasing_id().alias(UID))
     at = docs.columns.index(text)
 
+    def of(raw: bytes | None) -> tuple:
+        words = _words(raw)
+        hashes = np.concatenate(list(_hashes(words, shingle))) if words else np.zeros(0, np.uint64)
+        own = np.unique(hashes)
+        return _majority([hashes]) if words else 0, xxhash.xxh3_128_digest(words), len(own), *sketch(own)
+
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
         for b in batches:
             own = b.column(at).cast(pa.binary()).to_pylist()
-            new = [pa.array([fingerprint(x, shingle) for x in own], pa.int64())]
-            if key:
-                new.append(pa.array([xxhash.xxh3_128_digest(_words(x)) for x in own], pa.binary()))
+            rows = [of(x) for x in own] if sketches else [(fingerprint(x, shingle),) for x in own]
+            new = [pa.array([r[i] for r in rows], kinds[i]) for i in range(len(added))]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *added])
 
-    added = [FP, KEY] if key else [FP]
-    types = [T.StructField(FP, T.LongType()), T.StructField(KEY, T.BinaryType())][: len(added)]
-    return materialize(docs.mapInArrow(tag, T.StructType([*docs.schema.fields, *types])), "simhash")
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in added.items())).fields])
+    return materialize(docs.mapInArrow(tag, schema), "simhash")
 
 
 def _segments(bits: int, parts: int) -> list[tuple[int, int]]:
@@ -156,7 +166,7 @@ def links(fps: DataFrame, most: int = MOST_BITS, parts: int = SEGMENTS) -> DataF
             rest_k, rest_f = k[cut:], f[cut:]
         yield from _bucket_links(rest_k, rest_f, most, parts)
 
-    n = max(fps.sparkSession.sparkContext.defaultParallelism, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), fps.count() // TASK_FINGERPRINTS)
     return keyed.repartition(n, "variant").sortWithinPartitions("variant").mapInArrow(meet, "u long, v long")
 
 
@@ -204,7 +214,7 @@ def bucket_forest(fps: np.ndarray, left: list[tuple[int, int]], dense: int = DEN
 
 def roots(tagged: DataFrame) -> DataFrame:
     """(simhash_bits, root): every fingerprint of two or more that are connected, with its component's least one."""
-    found = connected_components(links(tagged.select(FP).distinct()))
+    found = connected_components(links(materialize(tagged.select(FP).distinct(), "fingerprints")))
     return found.select(F.col("node").alias(FP), "root")
 
 
@@ -230,25 +240,28 @@ def keep_one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "d
     return tagged.join(kept, UID, "left_semi").drop(FP, UID)
 
 
-def keep_one_of_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, most: int = 6, parts: int = 4) -> DataFrame:
+def keep_one_of_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, most: int = 7, parts: int = 4) -> DataFrame:
     """The row with the smallest ``doc_id`` (null last, any one of rows that tie) of each component of texts whose sets of
     shingles have a Jaccard similarity of 0.8 or more, all columns kept.
 
-    The similarity decides, not the fingerprint: links of fingerprints are verified by it, and pairs that differ in more
-    than ``most`` bits (at similarity 0.8 about ten do, which no split of 64 bits finds without comparing all with all) come
-    from the prefix filter.  Blank texts are alike."""
-    tagged = add_fingerprints(docs, text, shingle, key=True)
-    nodes = materialize(tagged.groupBy(KEY).agg(F.min(F.struct(UID, FP)).alias("x")).select(KEY, F.col(f"x.{UID}").alias("node"), F.col(f"x.{FP}").alias(FP)), "nodes")
-    texts = tagged.select(F.col(UID).alias("node"), F.col(KEY).alias("key"), quoted(text).alias("text")).join(nodes.select("node"), "node", "left_semi")
+    The similarity decides, not the fingerprint: links of fingerprints are verified by it.  Pairs that differ in more than
+    ``most`` bits (at similarity 0.8 about ten do, which no split of 64 bits finds without comparing all with all) come
+    from the bands of ``set_similarity``, verified likewise.  Blank texts are alike."""
+    added = (FP, UID, KEY, SIZE, BAND, MARK)
+    tagged = add_fingerprints(docs, text, shingle, sketches=True)
+    least = tagged.groupBy(KEY).agg(F.min(F.struct(*(F.col(c) for c in (UID, FP, SIZE, BAND, MARK)))).alias("x"))
+    nodes = materialize(least.select(KEY, F.col(f"x.{UID}").alias("node"), F.col(f"x.{FP}").alias(FP), F.col(f"x.{SIZE}").alias("n"), F.col(f"x.{BAND}").alias("bands"), F.col(f"x.{MARK}").alias("sketch")), "nodes")
 
     # of each fingerprint one node, linked with its other nodes and with those of linked fingerprints
     one = materialize(nodes.groupBy(FP).agg(F.min("node").alias("first")), "firsts")
-    own = nodes.join(one, FP).select(F.col("first").alias("u"), F.col("node").alias("v")).where("u <> v")
+    own = nodes.select(FP, "node").join(one, FP).select(F.col("first").alias("u"), F.col("node").alias("v")).where("u <> v")
     far = links(one.select(FP), most, parts)
     near = far.join(one.select(F.col(FP).alias("u"), F.col("first").alias("a")), "u").join(one.select(F.col(FP).alias("v"), F.col("first").alias("b")), "v")
-    found = components(texts, lambda t: shingle_set(t, shingle), own.union(near.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    hints = own.union(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    texts = tagged.select(F.col(UID).alias("node"), quoted(text).alias("text"))
+    found = components(nodes.select("node", "n", "bands", "sketch"), texts, lambda t: shingle_set(t, shingle), hints)
 
-    root = materialize(nodes.join(found, "node", "left").select(KEY, F.coalesce("root", "node").alias("root")), "roots")
+    root = materialize(nodes.select(KEY, "node").join(found, "node", "left").select(KEY, F.coalesce("root", "node").alias("root")), "roots")
     rows = tagged.select(UID, quoted(doc_id), KEY).join(root, KEY)
     kept = rows.groupBy("root").agg(F.min(F.struct(quoted(doc_id).isNull(), quoted(doc_id), F.col(UID)))[UID].alias(UID))
-    return tagged.join(kept, UID, "left_semi").drop(FP, UID, KEY)
+    return tagged.join(kept, UID, "left_semi").drop(*added)
