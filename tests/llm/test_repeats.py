@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from weftwork.llm import _repeats as R
+from weftwork.llm import substring_dedup, suffix_repeats
 from weftwork.llm.substring_dedup import copied_words_digest, remove_copied_words
 from weftwork.llm.suffix_repeats import lcp_intervals, remove_repeats, repeat_digest
 
@@ -125,5 +127,42 @@ def test_nothing_repeats(spark):
     assert {r.n_removed for r in repeat_digest(frame(spark, rows)).collect()} == {0}
 
 
+@pytest.mark.parametrize("digest, module", [(copied_words_digest, substring_dedup), (repeat_digest, suffix_repeats)])
+def test_every_removal_comes_from_the_index(spark, monkeypatch, digest, module):
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(7))]
+    assert sum(r.n_removed for r in digest(frame(spark, rows)).collect()) > 100
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(module, "compare", lambda s, c: (none, none, none))
+    assert {r.n_removed for r in digest(frame(spark, rows)).collect()} == {0}
+
+
+def test_words_with_one_polynomial_hash(spark):
+    """A Thue-Morse word and its complement have the same polynomial hash modulo 2**64, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    head = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{head} {one}"), (2, f"{head} {two}"), (3, f"{head} {one}")]
+    assert {r.doc_id: r.n_removed for r in copied_words_digest(frame(spark, rows)).collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_word_tokens_tell_words_apart():
+    rnd = random.Random(3)
+    words = {"".join(rnd.choice("aé0") for _ in range(n)) for n in range(1, 24) for _ in range(200)} | {"a\0", "a", "a\0\0", "\0"}
+    tokens = substring_dedup.word_tokens(" \n".join(words).encode())
+    assert len(set(tokens.tolist())) == len(words) == len(tokens)
+    assert substring_dedup.word_tokens(b"x abcdefgh").tolist()[1:] == substring_dedup.word_tokens(b"abcdefgh yy").tolist()[:1]
+
+
+def test_a_gram_with_many_contexts(spark):
+    """One 40-byte passage in thousands of different surroundings, some of which repeat."""
+    rnd = random.Random(9)
+    say = lambda: "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(90, 130)))
+    own = [say() for _ in range(900)]
+    rows = [(i, rnd.choice(own) + " the very same passage in all of the rows! " + rnd.choice(own)) for i in range(1500)]
+    assert sorted([tuple(r) for r in repeat_digest(frame(spark, rows, 6)).collect()], key=str) == brute_bytes(rows)
+    assert sorted([tuple(r) for r in repeat_digest(frame(spark, rows, 6), hot=50).collect()], key=str) == brute_bytes(rows)
+    assert sorted([tuple(r) for r in copied_words_digest(frame(spark, rows, 6)).collect()], key=str) == brute_words(rows)
+
+
 def test_intervals():
     assert list(lcp_intervals([0, 3, 1, 2])) == [(3, 0, 1), (2, 2, 3), (1, 0, 3)]

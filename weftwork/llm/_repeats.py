@@ -8,15 +8,17 @@ corpus, for every window of every row, without moving every window:
    on the window's content alone, so equal windows elect the same gram at the same offset.  An anchor carries the hash
    of its gram and of its context, the up to ``2W - k`` tokens that the windows around it can touch.  Equal anchors
    of one chunk are merged before anything is shuffled, so a gram that fills a third of the corpus is one entry a chunk.
-3. *Resolve.*  Per bucket of gram hashes: an equal context seen earlier covers all windows of the anchor; a gram with
-   several contexts is undecided; a gram with one context has nothing to compare.
-4. *Compare.*  Contexts of undecided grams go to the operator's own index (suffix array or automaton).  Grams with
-   more than ``hot`` contexts would make one task large, so all their windows are compared by 128-bit hash instead,
-   merged per chunk first and dealt over all buckets.
-5. *Apply.*  The removed spans return to the chunks, a span list a chunk.
-
-No step gathers more than one chunk or one bucket in a task, nothing is broadcast and nothing reaches the driver but
-the number of chunks.
+3. *Resolve.*  Per bucket of gram hashes: a gram with one context that occurs once has nothing to compare.  Of all other
+   contexts the first occurrence is asked for; its later occurrences become references to it and are not moved.
+4. *Compare.*  The contexts of a gram go to the operator's own index (suffix array or automaton), and one more row stands
+   for the later occurrences of a context.  What the index says of that row holds for all references, so that every
+   removal comes from the index, but a repeated context is moved and compared once.  A gram of more than ``hot``
+   different contexts would make one task large: there the windows are compared by 128-bit hash instead, merged per chunk
+   first and dealt over all buckets.
+5. *Apply.*  The spans, relative to their anchors, return to the chunks and are spread over the anchors.
+
+Step 3 gathers 25 bytes for each different (gram, context, chunk) of a gram hash in one task, the other steps one chunk or
+one bucket; nothing is broadcast and nothing reaches the driver but the number of chunks.
 """
 
 from __future__ import annotations
@@ -35,7 +37,11 @@ from weftwork.llm.common import materialize
 
 CHUNK_BYTES = 8 << 20
 BLOCK = 1 << 19
-HOT = 512
+#: Of the chunks, which are written once and moved twice.
+LEVEL = 6
+HOT = 4096
+#: Chunks and buckets for each task of an exchange.
+TASK_CHUNKS, TASK_BUCKETS = 8, 2
 LAST = np.iinfo(np.int64).max
 
 R1, R2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -170,7 +176,7 @@ def anchors(s: Shape, texts: list[bytes | None], keep: dict[int, np.ndarray] | N
 
 def _ipc(batch: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as w:
         w.write_table(batch)
     return sink.getvalue().to_pybytes()
 
@@ -269,20 +275,34 @@ def dealt(h: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int, int]]
     return order, list(zip(b[first].tolist(), first.tolist(), ends.tolist(), strict=True))
 
 
-def resolve(s: Shape, h: np.ndarray, ctx: np.ndarray, doc: np.ndarray, chunk: np.ndarray) -> np.ndarray:
-    """0: nothing to compare; 1: an equal context is earlier; 2: other contexts of the gram must be compared; 3: and
-    there are more than ``hot`` of them."""
+#: What a chunk is told of an entry: its first occurrence is elsewhere; send its context; send the windows of its first
+#: occurrence; the first occurrence is here (or, if only smaller documents count, in a row of the same document).
+REFERS, SEND, WINDOWS, FIRST = 1, 2, 4, 8
+
+
+def resolve(s: Shape, h: np.ndarray, ctx: np.ndarray, doc: np.ndarray, multi: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(status of each entry, index of its context's first occurrence).  multi: it occurs later in its own chunk, too."""
     order = np.lexsort((chunk, doc, ctx, h))
     hs, cs, ds = h[order], ctx[order], doc[order]
     new_h = np.concatenate(([True], hs[1:] != hs[:-1]))
     new_c = new_h | np.concatenate(([True], cs[1:] != cs[:-1]))
     g, c = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
     many = np.bincount(g[new_c])[g]
-    firsts = np.flatnonzero(new_c)[c]
-    later = ds > ds[firsts] if s.strict else np.arange(len(hs)) > firsts
-    out = np.empty(len(h), np.uint8)
-    out[order] = np.where(later, 1, np.where(many > s.hot, 3, np.where(many > 1, 2, 0)))
-    return out
+    first = np.flatnonzero(new_c)[c]
+    later = ds > ds[first] if s.strict else ~new_c
+    copied = np.bincount(c, later | multi[order])[c] > 0
+    live = copied | (many > 1)
+    told = np.where(new_c, np.where(copied | (many <= s.hot), SEND, 0), REFERS) | np.where(later, 0, FIRST)
+    told |= np.where((many > s.hot) & ~later, WINDOWS, 0)
+    out, leader = np.empty(len(h), np.uint8), np.empty(len(h), np.int64)
+    out[order] = np.where(live, told, 0)
+    leader[order] = order[first]
+    return out, leader
+
+
+def bucket_key(h: np.ndarray, ctx: np.ndarray, status: np.ndarray) -> np.ndarray:
+    """What contexts meet under: their gram, but those of a gram with too many only their own copies."""
+    return np.where(status & WINDOWS, mix(h ^ mix(ctx)), h)
 
 
 def merge_spans(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,12 +319,19 @@ def merge_spans(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.nda
     return row[new], lo[new], top[last] - row[new] * big
 
 
-def _span_row(chunk: int, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> dict:
-    return {"kind": 0, "bucket": 0, "chunk": chunk, "n": len(row), "blob": dump(row.astype(np.int64), lo.astype(np.int64), hi.astype(np.int64))}
+#: Rows that move: entries and what is told of them; contexts; windows; references; and for the end spans, the places of
+#: entries, and spans relative to the anchors of an entry.
+ENTRIES, CONTEXTS, WINDOW_ROWS, REFERENCES, SPANS, PLACES, REPLIES = range(7)
+_OUT = "kind int, bucket int, chunk long, at int, n int, blob binary"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
 
 
-_OUT = "kind int, bucket int, chunk long, n int, blob binary"
-_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("blob", pa.binary())])
+def _row(kind: int, bucket: int, chunk: int, n: int, blob: bytes, at: int = 0) -> dict:
+    return {"kind": kind, "bucket": bucket, "chunk": chunk, "at": at, "n": n, "blob": blob}
+
+
+def _span_row(chunk: int, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> dict:
+    return _row(SPANS, 0, chunk, len(row), dump(row.astype(np.int64), lo.astype(np.int64), hi.astype(np.int64)))
 
 
 def table_of(rows: list[dict]) -> pa.Table:
@@ -313,20 +340,18 @@ def table_of(rows: list[dict]) -> pa.Table:
 
 @dataclass
 class Contexts:
-    """The contexts of a bucket's undecided grams, in corpus order.  tok: reach + window tokens a row, the anchor at
-    column ``reach``; outside left and right it holds zeros."""
+    """The contexts of a bucket, in corpus order.  tok: reach + window tokens a row, the anchor at column ``reach``; outside
+    left and right it holds zeros.  The last rows stand for later occurrences: ``of`` is the row they repeat, else -1."""
 
     h: np.ndarray
     doc: np.ndarray
-    chunk: np.ndarray
-    row: np.ndarray
-    pos: np.ndarray
     left: np.ndarray
     right: np.ndarray
     tok: np.ndarray
+    of: np.ndarray
 
 
-#: From contexts to removed spans: arrays (index of the context, start, end) in the positions of the context's row.
+#: From contexts to removed spans: arrays (index of the context, start, end) relative to the context's anchor.
 Compare = Callable[[Shape, Contexts], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -358,32 +383,127 @@ def _windows(s: Shape, tok: np.ndarray, left: np.ndarray, right: np.ndarray) ->
     return tuple(np.concatenate(x) for x in (idx, rel, one, two))
 
 
+def _by_chunk(chunk: np.ndarray) -> list[np.ndarray]:
+    """Indexes of each chunk's rows."""
+    o = np.argsort(chunk, kind="stable")
+    return np.split(o, np.flatnonzero(np.diff(chunk[o])) + 1) if len(o) else []
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the range, member) of all members of the ranges."""
+    size = hi - lo
+    of = np.repeat(np.arange(len(lo)), size)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + lo[of]
+
+
+def _answers(s: Shape, group: pa.Table, compare: Compare) -> list[dict]:
+    """What the index says of a bucket's contexts, for each chunk that holds them."""
+    g = group.filter(pc.equal(group["kind"], CONTEXTS))
+    if not g.num_rows:
+        return []
+    width, kinds = s.reach + s.window, [("u8", 1), ("i8", 1), ("i4", 1), ("i4", 1), ("u1", 1), ("u1", 1), ("u1", 1)]
+    parts = []
+    for m, blob in zip(g["n"].to_pylist(), g["blob"], strict=True):
+        wide = len(zstandard.decompress(blob.as_buffer())) // m - 27 > width
+        parts.append(load(blob.as_buffer(), m, *kinds, ("u8" if wide else "u1", width)))
+    chunk = np.repeat(g["chunk"].to_numpy(), g["n"].to_numpy())
+    h, doc, at, entry, left, right, multi, tok = (np.concatenate([p[i] for p in parts]) for i in range(8))
+    o = np.lexsort((at, chunk, doc))
+    h, doc, chunk, entry, left, right, multi, tok = (x[o] for x in (h, doc, chunk, entry, left.astype(np.int64), right.astype(np.int64), multi, tok))
+
+    r = group.filter(pc.equal(group["kind"], REFERENCES))
+    to_chunk, to_entry, own_chunk, own_entry, needs = (np.zeros(0, k) for k in ("i8", "i4", "i8", "i4", "u1"))
+    if r.num_rows:
+        refs = [load(blob.as_buffer(), m, ("i8", 1), ("i4", 1), ("i8", 1), ("i4", 1), ("u1", 1)) for m, blob in zip(r["n"].to_pylist(), r["blob"], strict=True)]
+        to_chunk, to_entry, own_chunk, own_entry, needs = (np.concatenate([p[i] for p in refs]) for i in range(5))
+    by = np.lexsort((entry, chunk))  # the context that each reference names
+    names = np.rec.fromarrays([chunk[by], entry[by]], names="chunk,entry")
+    of = by[np.searchsorted(names, np.rec.fromarrays([to_chunk, to_entry], names="chunk,entry"))]
+
+    copied = multi > 0
+    copied[of[needs & 2 > 0]] = True
+    again = np.flatnonzero(copied)
+    c = Contexts(*(np.concatenate((x, x[again])) for x in (h, doc, left, right, tok)), np.concatenate((np.full(len(h), -1), again)))
+    c.doc[len(h) :] = LAST  # after whatever they repeat
+    i, lo, hi = compare(s, c)
+
+    a, b, m = np.flatnonzero(needs & 1), np.flatnonzero(needs & 2), np.flatnonzero(multi)
+    key = np.concatenate((2 * np.arange(len(h)), 2 * m + 1, 2 * of[a], 2 * of[b] + 1))
+    target_chunk = np.concatenate((chunk, chunk[m], own_chunk[a], own_chunk[b]))
+    target_entry = np.concatenate((entry, entry[m], own_entry[a], own_entry[b]))
+    order = np.argsort(key, kind="stable")
+    wanted = np.where(c.of[i] < 0, 2 * i, 2 * c.of[i] + 1)
+    x, to = _ranges(np.searchsorted(key[order], wanted, "left"), np.searchsorted(key[order], wanted, "right"))
+    to = order[to]
+    rows = []
+    for part in _by_chunk(target_chunk[to]):
+        t, v = to[part], x[part]
+        rows.append(_row(REPLIES, 0, int(target_chunk[t[0]]), len(t), dump((2 * target_entry[t].astype(np.int64) + key[t] % 2), lo[v].astype(np.int16), hi[v].astype(np.int16))))
+    return rows
+
+
+def _window_spans(s: Shape, group: pa.Table) -> list[dict]:
+    g = group.filter(pc.equal(group["kind"], WINDOW_ROWS))
+    if not g.num_rows:
+        return []
+    parts = [load(blob.as_buffer(), m, ("u8", 1), ("u8", 1), ("i8", 1), ("i8", 1), ("i8", 1)) for m, blob in zip(g["n"].to_pylist(), g["blob"], strict=True)]
+    chunk = np.repeat(g["chunk"].to_numpy(), g["n"].to_numpy())
+    one, two, doc, row, start = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    o = np.lexsort((start, row, chunk, doc, two, one))
+    new = np.ones(len(o), bool)
+    new[1:] = (one[o][1:] != one[o][:-1]) | (two[o][1:] != two[o][:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))
+    later = doc[o] > doc[o][first] if s.strict else ~new
+    chunk, row, lo = chunk[o][later], row[o][later], start[o][later]
+    return [_span_row(int(chunk[p[0]]), *merge_spans(row[p], lo[p], lo[p] + s.window)) for p in _by_chunk(chunk)]
+
+
 def find(s: Shape, chunks: DataFrame, text: str, doc_id: str, compare: Compare) -> DataFrame:
-    """(chunk, n, blob): the removed spans of the chunks' rows, packed; a chunk may have several such rows."""
+    """What ``rewrite`` needs to know of the removed spans: rows of kind SPANS, PLACES and REPLIES for the chunks."""
     n_chunks = chunks.count()
     n = max(16, n_chunks // 4)
+    least = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunk_tasks, bucket_tasks = max(least, n_chunks // TASK_CHUNKS), max(least, n // TASK_BUCKETS)
+
+    def entries(ix: Index, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document of each entry's first anchor, whether later ones are copies, whether each anchor is one)."""
+        doc = ids[ix.row[ix.rep]]
+        copy = ids[ix.row] > doc[ix.inverse] if s.strict else np.arange(len(ix.row)) != ix.rep[ix.inverse]
+        return doc, np.bincount(ix.inverse, copy, len(doc)) > 0, copy
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 t = unpack(blob.as_buffer())
                 ix = index_chunk(s, text_of(t, text))
-                doc = ids_of(t, doc_id)[ix.row[ix.rep]]
+                doc, multi, _ = entries(ix, ids_of(t, doc_id))
                 order, parts = dealt(ix.h[ix.rep], n)
                 rows = []
                 for k, lo, hi in parts:
                     e = order[lo:hi]
                     a = ix.rep[e]
-                    rows.append({"kind": 1, "bucket": k, "chunk": chunk, "n": len(e), "blob": dump(ix.h[a], ix.ctx[a], doc[e])})
+                    rows.append(_row(ENTRIES, k, chunk, len(e), dump(ix.h[a], ix.ctx[a], doc[e], multi[e].astype(np.uint8)), lo))
                 yield from table_of(rows).to_batches()
 
     def settle(group: pa.Table) -> pa.Table:
-        parts = [load(blob.as_buffer(), m, ("u8", 1), ("u8", 1), ("i8", 1)) for m, blob in zip(group["n"].to_pylist(), group["blob"], strict=True)]
-        sizes, chunk = group["n"].to_numpy(), group["chunk"].to_numpy()
-        status = resolve(s, *(np.concatenate([p[i] for p in parts]) for i in range(3)), np.repeat(chunk, sizes))
+        sizes, chunk, at = group["n"].to_numpy(), group["chunk"].to_numpy(), group["at"].to_numpy()
+        parts = [load(blob.as_buffer(), m, ("u8", 1), ("u8", 1), ("i8", 1), ("u1", 1)) for m, blob in zip(sizes.tolist(), group["blob"], strict=True)]
+        h, ctx, doc, multi = (np.concatenate([p[i] for p in parts]) for i in range(4))
         ends = np.cumsum(sizes)
-        told = zip(group["bucket"].to_pylist(), chunk.tolist(), sizes.tolist(), ends.tolist(), strict=True)
-        return table_of([{"kind": 1, "bucket": b, "chunk": c, "n": m, "blob": dump(status[e - m : e])} for b, c, m, e in told if status[e - m : e].any()])  # silence says 0
+        whose, entry = np.repeat(chunk, sizes), np.arange(len(h)) - np.repeat(ends - sizes - at, sizes)
+        status, leader = resolve(s, h, ctx, doc, multi, whose)
+        told = zip(chunk.tolist(), at.tolist(), sizes.tolist(), ends.tolist(), strict=True)
+        rows = [_row(ENTRIES, 0, c, m, dump(status[e - m : e]), a) for c, a, m, e in told if status[e - m : e].any()]  # silence says 0
+        refs = np.flatnonzero(status & REFERS)
+        needs = np.where(status[refs] & FIRST, 1 | 2 * multi[refs], 2).astype(np.uint8)
+        to, key = leader[refs], bucket_key(h[leader[refs]], ctx[leader[refs]], status[leader[refs]])
+        order, places = dealt(key, n)
+        for k, lo, hi in places:
+            o = order[lo:hi]
+            o = o[np.lexsort((entry[refs[o]], whose[refs[o]]))]
+            x = refs[o]
+            rows.append(_row(REFERENCES, k, 0, len(x), dump(whose[to[o]], entry[to[o]].astype(np.int32), whose[x], entry[x].astype(np.int32), needs[o])))
+        return table_of(rows)
 
     def back(docs: pa.Table, told: pa.Table) -> pa.Table:
         rows: list[dict] = []
@@ -392,24 +512,31 @@ def find(s: Shape, chunks: DataFrame, text: str, doc_id: str, compare: Compare)
             keep: dict[int, np.ndarray] = {}
             ix = index_chunk(s, text_of(t, text), keep)
             ids = ids_of(t, doc_id)
-            order, parts = dealt(ix.h[ix.rep], n)
-            own = {k: order[lo:hi] for k, lo, hi in parts}
+            doc, multi, copy = entries(ix, ids)
+            order, _ = dealt(ix.h[ix.rep], n)
+            number = np.empty(len(order), np.int64)  # of an entry, as it was sent
+            number[order] = np.arange(len(order))
             status = np.zeros(len(ix.rep), np.uint8)
-            for k, m, packed in zip(told["bucket"].to_pylist(), told["n"].to_pylist(), told["blob"], strict=True):
-                status[own[k]] = load(packed.as_buffer(), m, ("u1", 1))[0]
-            first = ix.rep[ix.inverse]
+            for at, m, packed in zip(told["at"].to_pylist(), told["n"].to_pylist(), told["blob"], strict=True):
+                status[order[at : at + m]] = load(packed.as_buffer(), m, ("u1", 1))[0]
             mine = status[ix.inverse]
-            doc = ids[ix.row]
-            repeat = doc > doc[first] if s.strict else np.arange(len(first)) != first
-            covered = (mine == 1) | repeat
-            spans = [(ix.row[covered], (ix.pos - ix.left)[covered], (ix.pos + ix.right)[covered])]
-            pick = np.flatnonzero(~covered & (mine == 2))
-            order, parts = dealt(ix.h[pick], n)
+            early = (mine & FIRST > 0) & ~copy
+
+            live = np.flatnonzero(mine & (REFERS | SEND))
+            places = 2 * number[ix.inverse[live]] + ~early[live]
+            o = np.argsort(places, kind="stable")
+            rows.append(_row(PLACES, 0, chunk, len(o), dump(places[o], ix.row[live[o]].astype(np.int32), ix.pos[live[o]].astype(np.int64))))
+
+            pick = np.flatnonzero(status & SEND)
+            key = bucket_key(ix.h[ix.rep[pick]], ix.ctx[ix.rep[pick]], status[pick])
+            by, parts = dealt(key, n)
             for k, lo, hi in parts:
-                e = pick[order[lo:hi]]
-                tok = _gather(s, ix, keep, e)
-                rows.append({"kind": 2, "bucket": k, "chunk": chunk, "n": len(e), "blob": dump(ix.h[e], doc[e], ix.row[e], ix.pos[e], ix.left[e], ix.right[e], tok)})
-            hot = np.flatnonzero(~covered & (mine == 3))
+                e = pick[by[lo:hi]]
+                a = ix.rep[e]
+                rows.append(_row(CONTEXTS, k, chunk, len(e), dump(key[by[lo:hi]], doc[e], a.astype(np.int32), number[e].astype(np.int32), ix.left[a].astype(np.uint8), ix.right[a].astype(np.uint8), multi[e].astype(np.uint8), _gather(s, ix, keep, a))))
+
+            spans = [(np.zeros(0, np.int64),) * 3]
+            hot = np.flatnonzero((mine & WINDOWS > 0) & early)
             for at3 in range(0, len(hot), 20_000):
                 part = hot[at3 : at3 + 20_000]
                 i, rel, one, two = _windows(s, _gather(s, ix, keep, part), ix.left[part], ix.right[part])
@@ -417,76 +544,63 @@ def find(s: Shape, chunks: DataFrame, text: str, doc_id: str, compare: Compare)
                 start = ix.pos[a] + rel
                 once = np.unique((ix.row[a].astype(np.int64) << np.int64(40)) + start, return_index=True)[1]  # a window has several anchors
                 a, start, one, two = a[once], start[once], one[once], two[once]
+                own = ids[ix.row[a]]
                 o = np.lexsort((start, ix.row[a], two, one))
                 same = np.zeros(len(o), bool)
                 same[1:] = (one[o][1:] == one[o][:-1]) & (two[o][1:] == two[o][:-1])
                 if s.strict:  # within one document all starts share the verdict, and each is sent
-                    same[1:] &= doc[a][o][1:] > doc[a][o][np.maximum.accumulate(np.where(~same, np.arange(len(o)), 0))][1:]
+                    same[1:] &= own[o][1:] > own[o][np.maximum.accumulate(np.where(~same, np.arange(len(o)), 0))][1:]
                 spans.append((ix.row[a][o][same], start[o][same], start[o][same] + s.window))
                 e = o[~same]
-                order, parts = dealt(one[e], n)
+                by, parts = dealt(one[e], n)
                 for k, lo, hi in parts:
-                    x = e[order[lo:hi]]
-                    rows.append({"kind": 3, "bucket": k, "chunk": chunk, "n": len(x), "blob": dump(one[x], two[x], doc[a][x], ix.row[a][x], start[x])})
+                    x = e[by[lo:hi]]
+                    rows.append(_row(WINDOW_ROWS, k, chunk, len(x), dump(one[x], two[x], own[x], ix.row[a][x], start[x])))
             rows.append(_span_row(chunk, *merge_spans(*(np.concatenate(x) for x in zip(*spans, strict=True)))))
         return table_of(rows)
 
     def last(group: pa.Table) -> pa.Table:
-        rows: list[dict] = []
-        found = []
-        for kind in (2, 3):
-            g = group.filter(pc.equal(group["kind"], kind))
-            if not g.num_rows:
-                continue
-            width = s.reach + s.window
-            kinds = [("u8", 1), ("i8", 1), ("i8", 1), ("i8", 1), ("i8", 1), ("i8", 1)] if kind == 2 else [("u8", 1), ("u8", 1), ("i8", 1), ("i8", 1), ("i8", 1)]
-            parts = []
-            for m, blob in zip(g["n"].to_pylist(), g["blob"], strict=True):
-                raw = len(zstandard.decompress(blob.as_buffer())) // m - 8 * len(kinds)
-                parts.append(load(blob.as_buffer(), m, *kinds, *([("u1" if raw == width else "u8", width)] if kind == 2 else [])))
-            chunk = np.repeat(g["chunk"].to_numpy(), g["n"].to_numpy())
-            cols = [np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))]
-            if kind == 2:
-                h, doc, row, pos, left, right, tok = cols
-                o = np.lexsort((pos, row, chunk, doc))
-                c = Contexts(h[o], doc[o], chunk[o], row[o], pos[o], left[o], right[o], tok[o])
-                i, lo, hi = compare(s, c)
-                found.append((c.chunk[i], c.row[i], lo, hi))
-            else:
-                one, two, doc, row, start = cols
-                o = np.lexsort((start, row, chunk, doc, two, one))
-                new = np.ones(len(o), bool)
-                new[1:] = (one[o][1:] != one[o][:-1]) | (two[o][1:] != two[o][:-1])
-                first = np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))
-                later = doc[o] > doc[o][first] if s.strict else (start[o] != start[o][first]) | (row[o] != row[o][first]) | (chunk[o] != chunk[o][first])
-                found.append((chunk[o][later], row[o][later], start[o][later], start[o][later] + s.window))
-        if found:
-            chunk, row, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
-            o = np.argsort(chunk, kind="stable")
-            for part in np.split(o, np.flatnonzero(np.diff(chunk[o])) + 1) if len(o) else []:
-                rows.append(_span_row(int(chunk[part[0]]), *merge_spans(row[part], lo[part], hi[part])))
-        return table_of(rows)
-
-    sent = chunks.mapInArrow(forward, _OUT)
-    told = sent.groupBy("bucket").applyInArrow(settle, _OUT)
-    both = materialize(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(back, _OUT), "spans", "uncompressed")
-    more = both.where("kind > 0").groupBy("bucket").applyInArrow(last, _OUT)
-    return both.where("kind = 0").unionByName(more).select("chunk", "n", "blob")
+        return table_of(_answers(s, group, compare) + _window_spans(s, group))
+
+    sent = chunks.mapInArrow(forward, _OUT).repartition(bucket_tasks, "bucket")
+    settled = materialize(sent.groupBy("bucket").applyInArrow(settle, _OUT), "settled", "uncompressed")
+    told = settled.where(f"kind = {ENTRIES}").repartition(chunk_tasks, "chunk")
+    both = materialize(chunks.repartition(chunk_tasks, "chunk").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(back, _OUT), "spans", "uncompressed")
+    asked = both.where(f"kind in ({CONTEXTS}, {WINDOW_ROWS})").unionByName(settled.where(f"kind = {REFERENCES}"))
+    more = asked.repartition(bucket_tasks, "bucket").groupBy("bucket").applyInArrow(last, _OUT)
+    return both.where(f"kind in ({SPANS}, {PLACES})").unionByName(more).repartition(chunk_tasks, "chunk")
+
+
+def _spread(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of all removed spans of a chunk."""
+    out = [(np.zeros(0, np.int64),) * 3]
+    place = [np.zeros(0, np.int64)] * 3
+    replies = []
+    for kind, m, blob in zip(found["kind"].to_pylist(), found["n"].to_pylist(), found["blob"], strict=True):
+        if not m:
+            continue
+        if kind == SPANS:
+            out.append(tuple(load(blob.as_buffer(), m, ("i8", 1), ("i8", 1), ("i8", 1))))
+        elif kind == PLACES:
+            place = load(blob.as_buffer(), m, ("i8", 1), ("i4", 1), ("i8", 1))
+        else:
+            replies.append(load(blob.as_buffer(), m, ("i8", 1), ("i2", 1), ("i2", 1)))
+    for key, lo, hi in replies:
+        x, to = _ranges(np.searchsorted(place[0], key, "left"), np.searchsorted(place[0], key, "right"))
+        out.append((place[1][to].astype(np.int64), place[2][to] + lo[x], place[2][to] + hi[x]))
+    return merge_spans(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
 def rewrite(chunks: DataFrame, spans: DataFrame, each: Callable[[pa.Table, list[list[tuple[int, int]]]], pa.Table], schema: object) -> DataFrame:
-    """``each(rows of a chunk, sorted disjoint spans of each row)`` over all chunks."""
+    """``each(rows of a chunk, sorted disjoint spans of each row)`` over all chunks.  ``spans``: what ``find`` gave."""
 
     def apply(docs: pa.Table, found: pa.Table) -> pa.Table:
-        parts = [load(blob.as_buffer(), m, ("i8", 1), ("i8", 1), ("i8", 1)) for m, blob in zip(found["n"].to_pylist(), found["blob"], strict=True) if m]
         out = []
         for blob in docs["blob"]:
             t = unpack(blob.as_buffer())
             per: list[list[tuple[int, int]]] = [[] for _ in range(t.num_rows)]
-            if parts:
-                row, lo, hi = merge_spans(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                for r, a, b in zip(row.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    per[r].append((a, b))
+            for r, a, b in zip(*(x.tolist() for x in _spread(found)), strict=True):
+                per[r].append((a, b))
             out.append(each(t, per))
         return pa.concat_tables(out)
 

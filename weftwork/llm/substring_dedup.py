@@ -1,6 +1,6 @@
 """Substring dedup: remove words that lie in a 13-word window which also starts in a document with a smaller id.
 
-``weftwork.llm._repeats`` finds the word grams that occur in several contexts and deals their contexts into shards.
+``weftwork.llm._repeats`` finds the word grams that occur more than once and deals their contexts into shards.
 In each shard a suffix automaton is built over the reference contexts, every state with the smallest document that
 holds its strings; the shard's documents are then streamed through it.  At each word the automaton gives the longest
 suffix that a smaller document also holds (the matching statistic), and each match of at least the window length
@@ -20,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -40,17 +41,24 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_tokens(text: bytes) -> np.ndarray:
-    """A 64-bit hash for each word."""
+    """A 64-bit number for each word: its bytes themselves (mixed, one to one) up to seven, two mixed halves up to sixteen,
+    XXH3 beyond."""
     raw = np.frombuffer(text, np.uint8)
     start, end = word_bounds(raw)
-    out = np.empty(len(start), np.uint64)
-    a = 0
-    while a < len(start):  # in pieces of bounded size, cut between words
-        b = max(a + 1, int(np.searchsorted(end, start[a] + R.BLOCK, "right")))
-        lo, hi = int(start[a]), int(end[b - 1])
-        pre = R.prefix(R.byte_tokens(raw[lo:hi]), R.R1)
-        out[a:b] = R.mix(R.spans_hash(pre, R.R1, start[a:b] - lo, end[a:b] - lo) + (end[a:b] - start[a:b]).astype(np.uint64))
-        a = b
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    padded = np.frombuffer(text + bytes(8), np.uint8)
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = (end - start).astype(np.uint64)
+    head = eight[start]
+    few = size < np.uint64(8)
+    head[few] &= (np.uint64(1) << (np.uint64(8) * size[few])) - np.uint64(1)
+    out = R.mix(head ^ (size << np.uint64(56)))
+    more = np.flatnonzero((end - start >= 8) & (end - start <= 16))
+    out[more] = R.mix(R.mix(head[more] + size[more] * R.R1) + eight[end[more] - 8] * R.R2)
+    view = memoryview(text)
+    for i in np.flatnonzero(end - start > 16).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(view[start[i] : end[i]])
     return out
 
 
@@ -133,7 +141,7 @@ def compare(s: R.Shape, c: R.Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarr
     order = np.argsort(c.h, kind="stable")  # the contexts of a gram lie together, in corpus order
     bounds = [0, *(np.flatnonzero(np.diff(c.h[order])) + 1).tolist(), len(order)]
     tokens = [x[s.reach - a : s.reach + b] for x, a, b in zip(c.tok.tolist(), c.left.tolist(), c.right.tolist(), strict=True)]
-    doc, left, pos = c.doc.tolist(), c.left.tolist(), c.pos.tolist()
+    doc, left, of = c.doc.tolist(), c.left.tolist(), c.of.tolist()
     idx: list[int] = []
     lo: list[int] = []
     hi: list[int] = []
@@ -142,13 +150,14 @@ def compare(s: R.Shape, c: R.Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarr
     def run() -> None:
         sam = SuffixAutomaton()
         for i in shard:
-            sam.add(tokens[i], doc[i])
+            if of[i] < 0:
+                sam.add(tokens[i], doc[i])
         sam.finish()
         for i in shard:
             for a, b in sam.earlier_matches(tokens[i], doc[i], s.window):
                 idx.append(i)
-                lo.append(pos[i] - left[i] + a)
-                hi.append(pos[i] - left[i] + b)
+                lo.append(a - left[i])
+                hi.append(b - left[i])
         shard.clear()
 
     for a, b in zip(bounds, bounds[1:], strict=False):

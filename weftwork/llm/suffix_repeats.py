@@ -1,6 +1,6 @@
 """Suffix-array dedup: remove bytes that lie in a 100-byte string which also starts earlier in the corpus.
 
-``weftwork.llm._repeats`` finds anchors whose 32-byte gram occurs in several contexts.  For each bucket of grams this
+``weftwork.llm._repeats`` finds anchors whose 32-byte gram occurs more than once.  For each bucket of grams this
 module sorts the suffixes that start at the anchors (an enhanced, sparse suffix array, cut at the window length),
 scans the common-prefix array with a stack into its interval tree, and walks the left contexts of each interval the
 same way.  An interval of length l whose members share m bytes to the left is a repeat of l + m bytes; it is reported
@@ -114,9 +114,7 @@ def compare(s: R.Shape, c: R.Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarr
                 idx.append(x)
                 lo.append(m)
                 hi.append(depth)
-    i = np.array(idx, np.int64)
-    p = c.pos[i] if len(i) else i
-    return i, p - np.array(lo, np.int64), p + np.array(hi, np.int64)
+    return np.array(idx, np.int64), -np.array(lo, np.int64), np.array(hi, np.int64)
 
 
 def _bytes(text: bytes) -> np.ndarray:
