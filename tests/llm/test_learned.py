@@ -48,6 +48,46 @@ def test_language_pooling_forms_agree():
     assert np.allclose(net.pooled(x)[0], net.maxima(x))
 
 
+def test_numerals_are_no_letters(spark):
+    odd_ones = ["½", "²", "①", "Ⅷ", "12 ² ½", "٣", "_", "\u0301"]
+    rows = [(i, t) for i, t in enumerate(odd_ones)] + [(50, "ª"), (51, "ʰ"), (52, "日本")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.predict(df, L.fit(odd(spark), F.lit(True))).collect()}
+    assert all(got[i] == ("und", 0.0) for i in range(len(odd_ones))) and all(got[i][0] != "und" for i in (50, 51, 52))
+    only = spark.createDataFrame([(1, "Ⅷ ½", "xx"), (2, "word", "en")], "doc_id long, text string, lang string")
+    assert L.fit(only, F.lit(True)).languages == ["en"]
+
+
+def naive_prediction(net, text):
+    """One text at a time, one window at a time, one filter at a time."""
+    raw = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode()]
+    raw += [32] * (-len(raw) % L.WINDOW)
+    total = np.zeros(len(net.languages))
+    for at in range(0, len(raw), L.WINDOW):
+        own, best = raw[at : at + L.WINDOW], []
+        for w, bias in zip(net.filters, net.bias, strict=True):
+            for f in range(L.FILTERS):
+                best.append(max(0.0, max(sum(float(w[j, own[i + j], f]) for j in range(len(w))) for i in range(L.WINDOW - len(w) + 1)) + float(bias[f])))
+        z = np.array(best) @ net.dense + net.offset
+        total += z - z.max() - np.log(np.exp(z - z.max()).sum())
+    p = np.exp(total / (len(raw) // L.WINDOW))
+    return net.languages[int(p.argmax())], float((p / p.sum()).max())
+
+
+def test_predictions_equal_a_naive_pass(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    net = L.fit(docs, F.lit(True))
+    long = " ".join(r.text for r in docs.orderBy("doc_id").limit(4).collect())
+    some = docs.orderBy(F.length("text"), "doc_id").limit(25).select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text) for r in some] + [(-1, long), (-2, "é"), (-3, "x" * L.WINDOW), (-4, "Y" * (L.WINDOW + 1))]
+    for r in L.predict(spark.createDataFrame(rows, "doc_id long, text string"), net).collect():
+        text = dict(rows)[r.doc_id]
+        if r.lang_pred != "und":
+            want = naive_prediction(net, text)
+            assert r.lang_pred == want[0] and abs(r.score - want[1]) < 1e-4
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op6_quality_classifier(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out")

@@ -4,18 +4,20 @@ Filters of several widths run over the bytes of fixed-length windows, each filte
 (max pooling), and a softmax over these maxima gives the languages.  The network is trained in numpy on the driver,
 on a bounded sample of labelled rows, and applied to every window of every text in batches.
 
-Defined results: a text that is null or has no letter is ``und`` with score 0; null labels are not learned from; where
-no row can be learned from, every text is ``und``; repeated rows get equal results; an empty table gives an empty one.
+Defined results: a text that is null or has no letter (Unicode category L: numerals like a half or a Roman eight are
+none) is ``und`` with score 0; null labels are not learned from; where no row can be learned from, every text is ``und``;
+repeated rows get equal results; of classes that tie the alphabetically first is given; a very long text is read
+whole, in batches of windows; other columns are not looked at, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ TRAIN_WINDOWS = 4
 BATCH = 2048
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: A-Z as a-z, digits and symbols as blanks.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 
