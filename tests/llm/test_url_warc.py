@@ -42,8 +42,9 @@ def test_random_rules():
 PAGES = [(1, "http://a/ b", "same"), (5, "u", "same"), (5, "u", "same"), (2, None, None), (3, "u", ""), (None, "u", "same"), (None, None, "alone é\r\n\r\n"), (9, "u", "x" * 300_000), (4, "u", "WARC/1.1\r\n\r\n")]
 
 
-@pytest.mark.parametrize("least", [0, 4, 5])
-def test_round_trip(spark, tmp_path, least):
+@pytest.mark.parametrize("least, told", [(0, 200_000), (4, 200_000), (5, 0)])
+def test_round_trip(spark, tmp_path, monkeypatch, least, told):
+    monkeypatch.setattr(W, "BROADCAST_ROWS", told)
     df = spark.createDataFrame([(*p, "clash") for p in PAGES], "page_id long, url string, html string, payload string").repartition(3)
     got = W.read_archives(W.write_archives(df, f"file://{tmp_path}/w", least), f"file://{tmp_path}/w").collect()
     want = []
@@ -56,6 +57,25 @@ def test_round_trip(spark, tmp_path, least):
     assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.payload and bytes(r.payload) if r.payload is not None else None) for r in got], key=str) == sorted(want, key=str)
 
 
+def test_urls_come_back(spark, tmp_path):
+    urls = [None, "", " ", "http://a/ b", "http://a/%20b", "http://a/ %20", "http://é.example/ü?q=日本", "a\r\nWARC-Type: revisit", "\thttp://x\t", "http://[::1]/~a|b^c`{}\"<>", "x" * 5000]
+    rows = [(i, u, f"page {i}") for i, u in enumerate(urls)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = W.read_archives(W.write_archives(df, f"file://{tmp_path}/w"), f"file://{tmp_path}/w").collect()
+    assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in got) == rows
+    for u in urls[1:]:
+        field = dict(W._uri_fields(u))["WARC-Target-URI"]
+        assert field.isascii() and not any(c.isspace() for c in field)
+
+
+def test_file_systems(monkeypatch):
+    asked = []
+    monkeypatch.setattr(W.pyarrow.fs, "FileSystem", type("Any", (), {"from_uri": staticmethod(lambda uri: (asked.append(uri), ""))}))
+    for uri in ("s3a://bucket/x", "s3n://bucket/x", "file:///x", "hdfs://h/s3a://"):
+        W.file_system(uri)
+    assert asked == ["s3://bucket/x", "s3://bucket/x", "file:///x", "hdfs://h/s3a://"]
+
+
 def test_empty(spark):
     assert W.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 

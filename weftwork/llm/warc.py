@@ -6,22 +6,30 @@ reader goes through an archive once: it inflates member by member from small blo
 Content-Length, and verifies block and payload digests, holding one record at a time.
 
 Of rows with equal payloads of at least ``least_bytes`` the one with the largest page_id is the response; the others
-are revisit records that refer to it and carry no payload, only its digest and length.
+are revisit records that refer to it and carry no payload, only its digest and length.  Which payloads repeat is found
+from their digests; the payloads stay where they are unless more of them repeat than may be broadcast.
+
+A target URI has no blanks, controls or characters beyond ASCII: they are percent-encoded, and a url that is changed by
+that is kept whole in a field of its own, so that every url comes back as it was.
 
 Defined results: null html is an empty payload; rows with null page_id revisit the largest id of their payload, or are
-responses if there is none; rows that share the largest page_id are all responses; urls may be null; an empty table
-gives no archive and an empty table.
+responses if there is none; rows that share the largest page_id are all responses; a null url has no target URI and comes
+back null; a very long payload is one record, which is held in memory whole; columns of ``pages`` other than the three
+named are not looked at; an empty table gives no archive and an empty table.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -33,6 +41,11 @@ from weftwork.llm.common import materialize, quoted, scratch_dir
 ARCHIVE_BYTES = 32 << 20
 BLOCK = 1 << 16
 LEVEL = 4
+#: Payloads that repeat, at most so many, are told to all tasks; beyond that rows are shuffled to meet them.
+BROADCAST_ROWS = 200_000
+#: What stands in a target URI as it is, and in the field that keeps an odd url.
+_PLAIN = "".join(c for c in string.printable if c.isprintable() and c != " ")
+_KEPT = _PLAIN.replace("%", "")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -53,7 +66,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         ("WARC-Type", "response" if refers_to is None else "revisit"),
         ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
         ("WARC-Date", date),
-        ("WARC-Target-URI", "".join((url or "").split())),
+        *_uri_fields(url),
         *([] if refers_to is None else [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"),
@@ -65,6 +78,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return z.compress(text.encode() + block + b"\r\n\r\n") + z.flush()
 
 
+def _uri_fields(url: str | None) -> list[tuple[str, str]]:
+    if url is None:
+        return []
+    plain = quote(url, safe=_PLAIN)
+    return [("WARC-Target-URI", plain), *([] if plain == url else [("X-Source-Url", quote(url, safe=_KEPT))])]
+
+
 @dataclass
 class Record:
     headers: dict[str, str]
@@ -75,6 +95,10 @@ class Record:
         value = self.headers.get(name, "<urn:page:>")[10:-1]
         return int(value) if value else None
 
+    def url(self) -> str | None:
+        kept = self.headers.get("X-Source-Url")
+        return self.headers.get("WARC-Target-URI") if kept is None else unquote(kept)
+
 
 class WarcReader:
     """Records of an archive in order, from a stream that is read once."""
@@ -147,16 +171,23 @@ def _verify(named: str | None, data: bytes, what: str) -> None:
         raise WarcError(f"the {what} digest is not {named}")
 
 
+def file_system(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder's URI, and the folder's path in it; Spark's names of S3 are Arrow's ``s3``."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub(r"\As3[an]://", "s3://", folder))
+
+
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
     """Write all rows as WARC files below ``folder`` (a URI that every executor reaches); a table of (path, n_records)."""
     rows = pages.select(quoted(page_id).cast("long").alias("page_id"), quoted(url).alias("url"), F.coalesce(quoted(html), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("sha1", F.sha1("payload"))
-    slim = pages.select(quoted(page_id).cast("long").alias("page_id"), F.coalesce(quoted(html), F.lit("")).cast("binary").alias("payload"))
-    same = slim.where(F.length("payload") >= least_bytes).groupBy(F.sha1("payload").alias("sha1")).agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-    told = rows.join(same.where("n > 1").drop("n"), "sha1", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    slim = rows.where(F.length("payload") >= least_bytes).select("page_id", F.sha1("payload").alias("sha1"))
+    same = slim.groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
+    same = materialize(same.where("n > 1").drop("n"), "same-payload")
+    if same.count() <= BROADCAST_ROWS:
+        same = F.broadcast(same)
+    told = rows.withColumn("sha1", F.sha1("payload")).join(same, "sha1", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
         out, path, size, n = None, "", 0, 0
         for b in batches:
@@ -187,7 +218,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
     payload_digest, record_type and refers_to.  Raises WarcError where an archive is not whole."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, _ = file_system(folder)
         names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for b in batches:
@@ -196,7 +227,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
                 with fs.open_input_stream(path, compression=None) as stream:
                     for r in WarcReader(stream):
                         kind = r.headers["WARC-Type"]
-                        held.append((r.page("WARC-Record-ID"), r.headers["WARC-Target-URI"], r.payload if kind == "response" else None, int(r.http["Content-Length"]), r.headers["WARC-Payload-Digest"].removeprefix("sha1:"), kind, r.page("WARC-Refers-To")))
+                        held.append((r.page("WARC-Record-ID"), r.url(), r.payload if kind == "response" else None, int(r.http["Content-Length"]), r.headers["WARC-Payload-Digest"].removeprefix("sha1:"), kind, r.page("WARC-Refers-To")))
                         size += len(r.payload)
                         if len(held) >= 2000 or size >= 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
@@ -204,8 +235,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
-    n = max(1, files.sparkSession.sparkContext.defaultParallelism)
-    return files.select("path").repartition(n).mapInArrow(read, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return files.select("path").repartition(max(1, files.count())).mapInArrow(read, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
