@@ -55,8 +55,9 @@ def test_contained(spark, monkeypatch):
     kept = [tuple(r) for r in left.collect()]
     hit = {(d, t) for d, t in docs for i, q in items if (n := min(5, len(words(q)))) and len(shingles(words(q), n) & shingles(words(t), n)) * 5 >= len(shingles(words(q), n)) * 4}
     assert sorted(kept, key=str) == sorted([x for x in docs if x not in hit], key=str) and bad
-    monkeypatch.setattr(C, "BROADCAST_ROWS", 0)
-    assert {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in C.contained(df, it).collect()} == want
+    for name, value in (("BITMAP_LONGS", 64), ("BROADCAST_ROWS", 0), ("BROADCAST_BYTES", 0)):
+        monkeypatch.setattr(C, name, value)
+        assert {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in C.contained(df, it).collect()} == want, name
 
 
 def test_contained_empty(spark):

@@ -3,19 +3,24 @@
 A document is contaminated by an item if it holds at least 0.8 of the item's distinct five-word shingles.  Documents
 are far longer than items, so their Jaccard similarity says little; what counts is containment.  An item of n shingles may miss at most
 ``n - ceil(0.8 n)`` of them, so of its ``n - ceil(0.8 n) + SPARE`` smallest hashes (its bottom-k MinHash) a
-contaminated document holds at least SPARE; that makes the search complete rather than probable.  The length of a
-sketch follows from its item's own n; documents emit only the shingle hashes up to the largest sketch value.  The search
-is not parted by size: see README.
+contaminated document holds at least SPARE; that makes the search complete rather than probable.
+
+Items are parted by size: a class holds the items of one gram length and of 2**c to 2**(c+1) - 1 shingles, and has its own
+cut, the largest value in its sketches.  A document is searched for a class only if it has shingles enough to hold 0.8 of the
+class's smallest item, and only its hashes up to the class's cut meet the class's sketches, by (class, hash).  Before
+that, hashes that are in no sketch are dropped by a bitmap of all sketch values, a literal of at most BITMAP_LONGS numbers
+(where the sketches have more than BROADCAST_ROWS rows there is none, and the cuts alone hold).
 Candidates are then verified by the shingles' words.
 
-All of it is built-in expressions.  The sketches are broadcast only when their counted rows are below BROADCAST_ROWS;
-whether candidates are broadcast is left to Spark, which knows the size of the table they were written to.
+All of it is built-in expressions.  The sketches are broadcast only when their counted rows are below BROADCAST_ROWS, the
+items' shingles only when their counted bytes are below BROADCAST_BYTES; whether candidates are broadcast is left to
+Spark, which knows the size of the table they were written to.
 
 Words are runs of letters and digits of the lower-cased text.  Defined results: items of 1 to 4 words are one shingle
 of all their words; items and documents without words match nothing; null texts count as empty; rows that repeat a
 (doc_id, text) are reported once; items with a null ``item_id`` are searched for like others, and texts that share an
-``item_id`` are each an item of their own; an empty table gives an empty table; columns of ``docs`` are never looked at but
-``text`` and ``doc_id``.
+``item_id`` are each an item of their own; a very long text is searched whole; of items that tie each is reported; an empty
+table gives an empty table; columns of ``docs`` are never looked at but ``text`` and ``doc_id``.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ SHINGLE = 5
 LEAST = 0.8
 SPARE = 3
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
+BITMAP_LONGS = 1 << 16
 
 
 def words(text: Column) -> Column:
@@ -45,10 +52,6 @@ def _say(*w: Column) -> Column:
     return F.concat_ws(" ", *w)
 
 
-def _below(hashes: Column, top: int) -> Column:
-    return F.filter(hashes, lambda h: h <= F.lit(top))
-
-
 def item_shingles(items: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
     """(item_id, item_key, n, gram, shingles, hashes): distinct shingles of each item that has words; n of them.
     item_key: hash of id and words, which tells texts of one id and items without id apart."""
@@ -71,32 +74,74 @@ def sketches(shingles: DataFrame) -> DataFrame:
     )
 
 
+def _bitmap(sketch: DataFrame, rows: int) -> Column | None:
+    """An array literal of numbers whose bits say which values the sketches may hold; None where they are too many."""
+    if rows > BROADCAST_ROWS:
+        return None
+    longs = _longs(rows)
+    places = sketch.select(_place(F.col("hash"), longs).alias("at"), _bit(F.col("hash")).alias("bit"))
+    held = dict(places.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect())  # at most BITMAP_LONGS rows
+    return F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(longs))), ",").cast("array<long>")
+
+
+def _longs(rows: int) -> int:
+    """A power of two: some 128 bits for each row, up to the bound."""
+    return min(BITMAP_LONGS, 1 << max(6, (2 * rows).bit_length()))
+
+
+def _place(h: Column, longs: int) -> Column:
+    return F.shiftrightunsigned(h, 64 - longs.bit_length() + 1).cast("int")
+
+
+def _bit(h: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+
 def contained(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, text_key, item_id, n_item, n_shared, containment) of every document that holds LEAST of an item.
     text_key: hash of the text, which tells rows of one doc_id apart."""
     spark = docs.sparkSession
     found = materialize(item_shingles(items), "items")
     sketch = materialize(sketches(found), "sketches")
-    classes = sketch.groupBy("gram", "size_class").agg(F.max("hash").alias("top"), F.count("*").alias("rows")).collect()  # at most 5 * 31 rows
+    classes = sketch.groupBy("gram", "size_class").agg(F.max("hash").alias("top"), F.count("*").alias("rows")).orderBy("gram", "size_class").collect()  # at most 5 * 31 rows
     if not classes:
         return spark.createDataFrame([], "doc_id long, text_key long, item_id long, n_item int, n_shared int, containment double")
-    tops: dict[int, int] = {}
-    for c in classes:
-        tops[c.gram] = max(tops.get(c.gram, -(1 << 63)), c.top)
-    probe = F.broadcast(sketch) if sum(c.rows for c in classes) <= BROADCAST_ROWS else sketch
+    total = sum(c.rows for c in classes)
+    probe = F.broadcast(sketch) if total <= BROADCAST_ROWS else sketch
+    bits = _bitmap(sketch, total)
+
+    def met(hashes: Column, top: int) -> Column:
+        """The hashes up to ``top`` that a sketch may hold."""
+        if bits is None:
+            return F.filter(hashes, lambda h: h <= F.lit(top))
+        return F.filter(hashes, lambda h: (h <= F.lit(top)) & (F.get(bits, _place(h, _longs(total))).bitwiseAND(_bit(h)) != 0))
+
+    def of_class(low: Column, gram: int, size_class: int, top: int) -> Column:
+        own = F.filter(F.array_distinct(low), lambda h: h <= F.lit(top))
+        return F.transform(own, lambda h: F.struct(F.lit(gram).alias("gram"), F.lit(size_class).alias("size_class"), h.alias("hash")))
+
     rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text")).where("text is not null")
     split = rows.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
-    low = [_below(_grams("w", g, F.xxhash64), top) for g, top in sorted(tops.items())]
-    seen = split.select("doc_id", "text_key", F.explode(F.array_distinct(F.concat(*low))).alias("hash"))
-    hits = seen.join(probe, "hash").groupBy("doc_id", "text_key", "item_key").agg(F.countDistinct("hash").alias("hits"), F.max("need").alias("need"))
+    grams = sorted({c.gram for c in classes})
+    low = [met(_grams("w", g, F.xxhash64), max(c.top for c in classes if c.gram == g)).alias(f"low{g}") for g in grams]
+    lows = split.select("doc_id", "text_key", F.size("w").alias("n_words"), *low)
+    dealt = []
+    for c in classes:
+        least = -(-4 * (1 << c.size_class) // 5) + c.gram - 1  # words of a document that may hold one of the class
+        own = of_class(F.col(f"low{c.gram}"), c.gram, c.size_class, c.top)
+        dealt.append(F.when(F.col("n_words") >= least, own).otherwise(F.array().cast("array<struct<gram:int,size_class:int,hash:bigint>>")))
+    # no filter on the columns of lows: it would be pushed below them and split the text again for each shingle
+    seen = lows.select("doc_id", "text_key", F.explode(F.concat(*dealt)).alias("x")).select("doc_id", "text_key", "x.*")
+    hits = seen.join(probe, ["gram", "size_class", "hash"]).groupBy("doc_id", "text_key", "item_key").agg(F.countDistinct("hash").alias("hits"), F.max("need").alias("need"))
     pairs = materialize(hits.where("hits >= need").select("doc_id", "text_key", "item_key"), "pairs")
 
     both = pairs.alias("p").join(rows.withColumn("text_key", F.xxhash64("text")).alias("d"), (F.col("p.text_key") == F.col("d.text_key")) & F.col("p.doc_id").eqNullSafe(F.col("d.doc_id")))
     texts = both.select("p.doc_id", "p.text_key", "p.item_key", words(F.col("d.text")).alias("w"))
     small = found.select("item_key", "item_id", "gram", "shingles", "n")
-    checked = texts.join(F.broadcast(small) if sum(c.rows for c in classes) <= BROADCAST_ROWS else small, "item_key")
+    size = found.agg(F.sum(F.length(F.concat_ws(" ", "shingles")) + 16 * F.col("n"))).first()[0] or 0
+    checked = texts.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, "item_key")
     own = F.lit(None).cast("array<string>")
-    for g in sorted(tops):
+    for g in grams:
         own = F.when(F.col("gram") == g, _grams("w", g, _say)).otherwise(own)
     counted = checked.select("doc_id", "text_key", "item_id", F.col("n").alias("n_item"), F.size(F.array_intersect("shingles", own)).alias("n_shared"))
     return counted.where(F.col("n_shared") * 5 >= F.col("n_item") * 4).withColumn("containment", F.col("n_shared") / F.col("n_item")).distinct()
