@@ -461,7 +461,7 @@ def _window_spans(s: Shape, group: pa.Table) -> list[dict]:
 def find(s: Shape, chunks: DataFrame, text: str, doc_id: str, compare: Compare) -> DataFrame:
     """What ``rewrite`` needs to know of the removed spans: rows of kind SPANS, PLACES and REPLIES for the chunks."""
     n_chunks = chunks.count()
-    n = max(16, n_chunks // 4)
+    n = max(32, n_chunks // 2)
     least = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunk_tasks, bucket_tasks = max(least, n_chunks // TASK_CHUNKS), max(least, n // TASK_BUCKETS)
 
