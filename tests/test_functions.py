@@ -132,6 +132,19 @@ NOISE = [
 ]
 
 
+@pytest.mark.parametrize("raw, want", [
+    ('Sure: {a: "x]y", b: 2} ok', {"a": "x]y", "b": 2}), ("```123```", 123), ("```true```", True), ("```JSON\n[1]\n```", [1]), ("{a: [1, 2}", {"a": [1, 2]}),
+    ("so {'a': 'b',} it is", {"a": "b"}), ('{"content": "a" + "b" +\n "c"}', {"content": "abc"}),
+    ('{"from": "x", "value": "one\ntwo \\"q\\" three"}', {"from": "x", "value": 'one\ntwo "q" three'}), ('Here: {"a": "}"} {"b": 1}', {"a": "}"}), ("a, b: c", None), ("{a: 1} {b: 2}", {"a": 1}),
+])
+def test_model_json_noise(raw, want):
+    if want is None:
+        with pytest.raises(ValueError):
+            model_json.parse(raw)
+    else:
+        assert model_json.parse(raw) == want
+
+
 def test_model_json(spark):
     for raw, want in NOISE:
         if want is None:

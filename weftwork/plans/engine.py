@@ -8,6 +8,7 @@ are looked at, so no call is repeated by a later action.  Calls carry no chat hi
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -25,6 +26,8 @@ from weftwork.sources.records import arrow_map, records_of, values_of
 from weftwork.sources.scratch import written
 
 RETRIED = ("invalid_json", "constrain_mismatch", "validator_mismatch")
+#: Of more items than these a report does not hold the traces but names the table that does.
+TRACED_ITEMS = 1000
 RETRYABLE = frozenset((*RETRIED, "model_call_failed"))
 
 
@@ -93,10 +96,10 @@ def call_once(stage: dict, prompt: str, client: ModelClient, options: ModelOptio
 
 
 class StageEngine:
-    def __init__(self, spark: SparkSession, client: ModelClient, options: ModelOptions | None = None, parallelism: int | None = None, delegate: Delegate | None = None, distributed: bool = True) -> None:
+    def __init__(self, spark: SparkSession, client: ModelClient, options: ModelOptions | None = None, parallelism: int | None = None, delegate: Delegate | None = None, distributed: bool = True, reporter: Any = None) -> None:
         """distributed: send the client to the executors (it must be picklable and give the same text again)."""
         self.spark, self.client, self.options = spark, client, options or ModelOptions()
-        self.parallelism, self.delegate, self.distributed = parallelism, delegate, distributed
+        self.parallelism, self.delegate, self.distributed, self.reporter = parallelism, delegate, distributed, reporter
 
     def run(self, stages: list[dict], initial: Any = js.MISSING, records: DataFrame | None = None) -> Result:
         result, prior = Result(), []
@@ -107,14 +110,17 @@ class StageEngine:
             return result
         result.dependencies = {n.key: n.depends_on for n in nodes}
 
-        def context() -> dict:
-            return ({} if initial is js.MISSING else {"initialContext": initial}) | {"outputsByStage": {k: result.value(k) for k in result.outputs}}
+        def context(path: str) -> dict:
+            """What ``path`` may look at: outputs that it does not name stay where they are."""
+            return ({} if initial is js.MISSING else {"initialContext": initial}) | {"outputsByStage": {k: result.value(k) for k in result.outputs if k in path or path.count(".") == 0}}
 
-        for node in nodes:
+        for done, node in enumerate(nodes):
+            if self.reporter:
+                self.reporter.progress(done, len(nodes))
             if any(result.statuses[d] != "executed" for d in node.depends_on):
                 result.statuses[node.key] = "blocked"
                 continue
-            if node.stage.get("when") and not dag.gate(node.stage, context()):
+            if node.stage.get("when") and not dag.gate(node.stage, context(node.stage["when"].get("path") or "")):
                 result.statuses[node.key] = "skipped"
                 continue
             try:
@@ -131,9 +137,11 @@ class StageEngine:
             result.statuses[node.key] = "executed"
             if chained:
                 prior.append((node.key, result.outputs[node.key]))
+        if self.reporter:
+            self.reporter.progress(len(nodes), len(nodes))
         return result
 
-    def _execute(self, node: dag.Node, initial: Any, records: DataFrame | None, prior: list, result: Result, context: Callable[[], dict]) -> bool:
+    def _execute(self, node: dag.Node, initial: Any, records: DataFrame | None, prior: list, result: Result, context: Callable[[str], dict]) -> bool:
         """Put the node's output into the result; whether later prompts see it."""
         mode = node.stage.get("mode", "batch")
         if mode == "workflow_delegate":
@@ -144,6 +152,8 @@ class StageEngine:
     def _note(self, node: dag.Node, result: Result, warnings: list[dict], record: int | None = None) -> None:
         base = {"stageIdentifier": node.key, "stageIndex": node.index} | ({} if record is None else {"recordIndex": record})
         result.warnings += [base | w for w in warnings]
+        for w in warnings if self.reporter else ():
+            self.reporter.warning(base | w)
 
     def _batch(self, node: dag.Node, initial: Any, records: DataFrame | None, prior: list, result: Result) -> None:
         told = [{"stageIdentifier": k, "output": values_of(v) if isinstance(v, DataFrame) else v} for k, v in prior]
@@ -179,6 +189,15 @@ class StageEngine:
         bad = done.select("_ord", F.get_json_object("_result", path).alias("e")).where("e is not null").agg(F.min(F.struct("_ord", "e")).alias("m")).first().m
         return (bad._ord, json.loads(bad.e)) if bad else None
 
+    def _traced(self, node: dag.Node, result: Result, done: DataFrame, name: str) -> None:
+        """The items' traces: in the report, or where they are many, in the stage's written table, which the report names."""
+        base = {"stageIdentifier": node.key, "stageIndex": node.index}
+        n = done.count()
+        if n > TRACED_ITEMS:
+            result.traces.append(base | {"items": n, "subtracesTable": os.path.commonpath(done.inputFiles()) if done.inputFiles() else None})
+        else:
+            result.traces.append(base | {"subtraces": [{name: i} | t for i, t in self._side(done, "traces")]})
+
     def _side(self, done: DataFrame, field_: str) -> list[tuple[int, dict]]:
         """Warnings or traces of the items, in order."""
         rows = done.select("_ord", F.get_json_object("_result", f"$.{field_}").alias("x")).where("x <> '[]'").orderBy("_ord").collect()
@@ -204,7 +223,7 @@ class StageEngine:
             raise StageError(bad[1]["kind"], f"Iter item {bad[0]} failed: {bad[1]['message']}", raw=bad[1].get("raw"))
         for i, w in self._side(done, "warnings"):
             self._note(node, result, [w], i)
-        result.traces.append({"stageIdentifier": node.key, "stageIndex": node.index, "subtraces": [{"itemIndex": i} | t for i, t in self._side(done, "traces")]})
+        self._traced(node, result, done, "itemIndex")
         result.outputs[node.key] = done.select("_ord", self._read(done, "$.output").alias("_json"))
 
     def _transform(self, node: dag.Node, initial: Any, records: DataFrame | None, prior: list, result: Result) -> None:
@@ -227,10 +246,10 @@ class StageEngine:
             raise StageError(bad[1]["kind"], bad[1]["message"])
         for i, w in self._side(done, "warnings"):
             self._note(node, result, [w], i)
-        result.traces.append({"stageIdentifier": node.key, "stageIndex": node.index, "subtraces": [{"recordIndex": i} | t for i, t in self._side(done, "traces")]})
+        self._traced(node, result, done, "recordIndex")
         result.outputs[node.key] = done.select("_ord", self._read(done, "$.output").alias("_json"))
 
-    def _delegate(self, node: dag.Node, result: Result, context: Callable[[], dict]) -> bool:
+    def _delegate(self, node: dag.Node, result: Result, context: Callable[[str], dict]) -> bool:
         block = node.stage["delegate"]
         warn = block.get("onFailure", "fail") == "warn"
 
@@ -242,7 +261,7 @@ class StageEngine:
             return chained
 
         try:
-            value = js.get_path(context(), block["inputFromPath"])
+            value = js.get_path(context(block["inputFromPath"]), block["inputFromPath"])
         except js.PathError as e:
             return fail(f"Delegated workflow input could not be resolved: {e}", False)
         if block.get("inputAs", "initial_context") == "pipeline_input" and not isinstance(value, list):

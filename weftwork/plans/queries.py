@@ -15,7 +15,7 @@ from weftwork.plans import dag, prompts
 from weftwork.plans.engine import StageEngine
 from weftwork.plans.model import StubClient
 from weftwork.sources import records as rec
-from weftwork.sources.scratch import written
+from weftwork.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -367,17 +367,30 @@ def modeljson_parse(spark, sf):
     return table(spark, sf, "events").select("event_id", model_json.parsed(raw).alias("value"))
 
 
-@query("SELECT conv_id, turn, 'To ' || role || ': ' || text || ' (' || turn || ')' AS said FROM conversations WHERE text NOT LIKE '%{%'")
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"k":' || (props->>'k') || ',"s":"x]y"}' WHEN 1 THEN props->>'k' WHEN 2 THEN '{"content":"ab' || (props->>'k') || '"}'
+  WHEN 3 THEN '{"content":"one\\ntwo' || (props->>'k') || '"}' WHEN 4 THEN '{"a":[1,' || (props->>'k') || ']}' END AS value FROM events""")
+def modeljson_noise(spark, sf):
+    """Prose around bare keys, a fenced number, joined literals, a raw line break, a bracket too few, and no value at all."""
+    k = F.get_json_object("props", "$.k")
+    noise = [F.concat(F.lit("Sure: {k: "), k, F.lit(', "s": "x]y"} ok')), F.concat(F.lit("```"), k, F.lit("```")), F.concat(F.lit('{"content": "a" +\n "b'), k, F.lit('"}')),
+             F.concat(F.lit('{"content": "one\ntwo'), k, F.lit('"}')), F.concat(F.lit("{a: [1, "), k, F.lit("}")), F.concat(F.lit("none: "), k)]
+    raw = F.element_at(F.array(*noise), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, sf, "events").select("event_id", model_json.parsed(raw).alias("value"))
+
+
+@query("SELECT conv_id, turn, replace(replace(replace('To {role}: {text} ({turn})', '{role}', role), '{text}', text), '{turn}', turn::VARCHAR) AS said FROM conversations")
 def text_template(spark, sf):
     t = TextTemplate("To {role}: {text} ({turn})")
-    return table(spark, sf, "conversations").where("text not like '%{%'").select("conv_id", "turn", t.column({"role": F.col("role"), "text": F.col("text"), "turn": F.col("turn")}).alias("said"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", t.column({"role": F.col("role"), "text": F.col("text"), "turn": F.col("turn")}).alias("said"))
 
 
 @query("SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
 def jsonl_roundtrip(spark, sf):
-    """Conversations written as JSON lines and read again as a text table."""
+    """Conversations written as JSON lines by the sink and read again by the scan."""
     r = rec.ordered(rec.turns_table(table(spark, sf, "conversations")), "conv_id").select("_ord", F.to_json(F.struct("conv_id", "turns")).alias("_json"))
-    stored = written(r, "lines")
+    folder = scratch_path(spark, "lines")
+    rec.write_jsonl(r, folder)
+    stored = rec.read_jsonl(spark, folder)
     row = F.from_json("_json", "conv_id long, turns array<struct<role:string,text:string>>")
     first = table(spark, sf, "conversations").withColumn("idx", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).select("conv_id", "idx", "turn")
     out = stored.select(row.alias("r")).select("r.conv_id", F.posexplode("r.turns").alias("idx", "x"))
@@ -442,10 +455,10 @@ def rewrite_retry_stub(spark, sf):
     return _turn_digests(source.select("_ord", "conv_id").join(out.outputs["r"], "_ord"))
 
 
-@query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS ord, upper(n_name) AS name, n_regionkey::BIGINT AS region FROM nation WHERE n_regionkey < 3")
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS ord, upper(n_name) AS name, n_regionkey::BIGINT AS region FROM nation")
 def iter_stub(spark, sf):
     """batch, then iter over its array with a constraint, then both seen by a gate."""
-    rows = [{"name": r.n_name, "region": r.n_regionkey} for r in table(spark, sf, "nation").where("n_regionkey < 3").orderBy("n_nationkey").collect()]  # the batch stage's one answer
+    rows = [{"name": r.n_name, "region": r.n_regionkey} for r in table(spark, sf, "nation").orderBy("n_nationkey").collect()]  # the batch stage's one answer
 
     def stub(prompt: str) -> str:
         mark = "Current Iter Item (JSON):\n"

@@ -28,6 +28,7 @@ def progress_bar(done: int, total: int, width: int = 24, full: str = "#", empty:
 class Reporter:
     def __init__(self, mode: str = "summary", progress: bool = True, out: TextIO | None = None, every: float = 0.1) -> None:
         self.mode, self.show_progress, self.out, self.every, self._last = mode, progress, out, every, 0.0
+        self._told: list[dict] = []
 
     def _say(self, text: str) -> None:
         if self.out:
@@ -41,6 +42,10 @@ class Reporter:
             self._say(progress_bar(done, total))
 
     def warning(self, w: dict) -> None:
+        """Said when it comes up, or at the end; once."""
+        if w in self._told:
+            return
+        self._told.append(w)
         if self.mode in ("warnings", "full"):
             at = "".join(f" {k} {w[f]}" for k, f in (("record", "recordIndex"), ("turn", "turnIndex")) if f in w)
             self._say(f"Warning [{w.get('stageIdentifier')}]{at}: {w['kind']}: {w['message']}")

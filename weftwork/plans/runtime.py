@@ -18,7 +18,7 @@ from weftwork.functions import js
 from weftwork.operators.remap import InputDatasetRemapError
 from weftwork.plans import config, dag
 from weftwork.plans.engine import Result, StageEngine, StageError
-from weftwork.plans.model import HttpClient, ModelClient, ModelOptions, api_key_of, endpoint_of, model_name
+from weftwork.plans.model import HttpClient, ModelClient, ModelOptions, api_key_of, endpoint_of, is_auth_failure, model_name
 from weftwork.sources.records import InputDatasetParseError, InputDatasetValidationError, load_records, records_of, to_jsonl, write_jsonl
 from weftwork.streaming.record_stream import CheckpointError, can_stream, run_stream
 
@@ -63,7 +63,7 @@ def client_of(document: dict, options: RunOptions) -> HttpClient:
     provider = options.provider or document.get("provider") or os.environ.get("WEFTWORK_PROVIDER", "openai").lower()
     key = api_key_of(options.api_key, document.get("apiKeyEnv"))
     headers = {"HTTP-Referer": options.http_referer or document.get("httpReferer"), "X-Title": options.x_title or document.get("xTitle")}
-    return HttpClient(endpoint_of(provider, options.endpoint or document.get("endpoint")), key, {k: v for k, v in headers.items() if v})
+    return HttpClient(endpoint_of(provider, options.endpoint or document.get("endpoint") or os.environ.get("WEFTWORK_ENDPOINT")), key, {k: v for k, v in headers.items() if v})
 
 
 class WorkflowRunner:
@@ -94,7 +94,7 @@ class WorkflowRunner:
             got, doc, _ = self.run(child, own, False, (*ancestry, real), records_of(self.spark, value) if as_input else None)
             return got, dag.stage_key(doc["stages"][-1], len(doc["stages"]) - 1)
 
-        engine = StageEngine(self.spark, client, model, options.parallelism, delegate, self.distributed)
+        engine = StageEngine(self.spark, client, model, options.parallelism, delegate, self.distributed, None if ancestry else self.reporter)
         result = engine.run(document["stages"], options.context, records if records is not None else source)
         report = self.report(result, document, path, began)
         if artifacts:
@@ -131,6 +131,8 @@ class WorkflowRunner:
 
 def classify(error: BaseException) -> tuple[str, str]:
     """(error type, hint) of a run that could not start or go on."""
+    if "api key env" in str(error).lower() or is_auth_failure(str(error)):
+        return "AuthenticationError", "Check that the API key is set, valid and in the variable that the workflow names."
     for kind, hint in (
         (config.PipelineParseError, "Check the YAML syntax of the workflow."), (config.PipelineValidationError, "Check the workflow's fields."),
         (InputDatasetParseError, "Check that every line or the file is JSON."), (InputDatasetRemapError, "Check the remap against the records."), (InputDatasetValidationError, "Check the input's path and format."),
@@ -170,7 +172,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, clien
 
     cli = parse_args(sys.argv[1:] if args is None else args)
     reporter = Reporter(cli.console, cli.progress, out or sys.stderr)
-    folder = cli.output_dir or (os.path.dirname(cli.out) if cli.out else None)
+    folder = cli.output_dir
     try:
         checkpoint = cli.resume or (f"{folder or './output'}/{Path(cli.pipeline).stem}.checkpoint.json" if cli.checkpoint_every else None)
         if checkpoint:
@@ -180,7 +182,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, clien
             initial_context(cli.context, cli.context_file), cli.parallelism, checkpoint, cli.checkpoint_every, bool(cli.resume), cli.show_thoughts,
         )
         spark = spark or SparkSession.builder.appName("weftwork").getOrCreate()
-        result, _, report = WorkflowRunner(spark, client).run(cli.pipeline, options)
+        result, _, report = WorkflowRunner(spark, client, reporter=reporter).run(cli.pipeline, options)
+        if cli.out:
+            os.makedirs(os.path.dirname(cli.out) or ".", exist_ok=True)
+            Path(cli.out).write_text(json.dumps(report, indent=2, ensure_ascii=False, default=str) + "\n", encoding="utf-8")
     except Exception as e:  # noqa: BLE001 - the top level reports whatever ended the run
         kind, hint = classify(e)
         reporter.error(kind, hint, e)

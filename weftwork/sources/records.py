@@ -6,6 +6,7 @@ Ordinals of a file come from counts per split and their running sum, so no task
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
 from collections.abc import Iterator
@@ -58,13 +59,11 @@ def _marked(rows: DataFrame) -> DataFrame:
 
 
 def _dense(marked: DataFrame) -> DataFrame:
-    counts = marked.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()  # one row a split
-    pairs, total = [], 0
-    for r in counts:
-        pairs += [F.lit(r["_part"]), F.lit(total)]
-        total += r.n
-    base = F.element_at(F.create_map(*pairs), F.col("_part")) if pairs else F.lit(0)
-    return marked.withColumn("_ord", (base + F.col("_at")).cast("long")).drop("_at", "_part")
+    """Places in splits to places overall: the splits' running counts (one row a split) are joined, not put into the plan."""
+    counts = marked.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()
+    ends = list(itertools.accumulate(r.n for r in counts))
+    bases = marked.sparkSession.createDataFrame([(r["_part"], end - r.n) for r, end in zip(counts, ends, strict=True)], "_part int, _base long")
+    return marked.join(F.broadcast(bases), "_part").withColumn("_ord", F.col("_base") + F.col("_at")).drop("_at", "_part", "_base")
 
 
 def numbered(lines: DataFrame) -> DataFrame:

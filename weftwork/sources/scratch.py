@@ -5,16 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` stored once below ``spark.checkpoint.dir`` and read back, so that model calls are not made again."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``.  A folder of this machine is used only where that is unset, and only by a
+    session that runs on this machine alone."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="weftwork-")
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/weftwork/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/weftwork/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` stored once below ``spark.checkpoint.dir`` and read back, so that model calls are not made again."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

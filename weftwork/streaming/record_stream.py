@@ -1,12 +1,13 @@
 """Streaming record transforms: bounded batches of records, append output, and a checkpoint to resume from.
 
 The source is a Structured Streaming reader whose offsets are record numbers, so a batch holds at most
-``checkpoint_every`` records.  Each batch writes one file named by its first record before the checkpoint moves; a batch
+``checkpoint_every`` records (BATCH where none is set).  Each batch writes one file named by its first record before the checkpoint moves; a batch
 that runs again writes the same file again, so a restart repeats work but not output.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -55,45 +56,60 @@ def write_checkpoint(path: str, pipeline: str, stage: str, offset: int, source:
     os.replace(part, path)
 
 
-def _records(path: str, start: int) -> Iterator[tuple[int, str]]:
-    """(number, text) of the non-blank lines from ``start`` on, without holding the file."""
-    n = 0
-    with open(path, encoding="utf-8", newline="\n") as f:
+#: Records of a batch where none are asked for, and of each of its partitions.
+BATCH, PART = 1000, 250
+
+
+def _records(path: str, n: int = 0, byte: int = 0) -> Iterator[tuple[int, str, int, int]]:
+    """(number, text, start, end) of the non-blank lines from ``byte`` on, the first numbered ``n``, without holding the file."""
+    with open(path, "rb") as f:
+        f.seek(byte)
         for line in f:
-            text = js.trim(line)
+            text, start = js.trim(line.decode("utf-8")), byte
+            byte += len(line)
             if text:
-                if n >= start:
-                    yield n, text
+                yield n, text, start, byte
                 n += 1
 
 
 class _Range(InputPartition):
-    def __init__(self, first: int, end: int) -> None:
-        self.first, self.end = first, end
+    def __init__(self, first: int, end: int, byte: int) -> None:
+        self.first, self.end, self.byte = first, end, byte
 
 
 class _Reader(DataSourceStreamReader):
+    """Offsets are a record's number and its byte, so that a batch reads its own part of the file and no more."""
+
     def __init__(self, options: dict) -> None:
         self.path, self.start = options["path"], int(options.get("start", 0))
-        self.most, self.every = int(options.get("limit", 1 << 60)), int(options.get("every", 1 << 60))
-        self._at = self.start
+        self.most, self.every = int(options.get("limit", 1 << 60)), int(options.get("every", BATCH))
+        self._at: dict | None = None
+        self._marks: dict[int, int] = {}
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"record": self.start}
+        byte = next((start for n, _, start, _ in _records(self.path) if n == self.start), None)
+        return {"record": self.start, "byte": os.path.getsize(self.path) if byte is None else byte}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        n = sum(1 for _ in zip(range(min(self.every, self.start + self.most - self._at)), _records(self.path, self._at), strict=False))
-        self._at += n
-        return {"record": self._at}
+        at = self._at = self._at or self.initialOffset()
+        end, self._marks = dict(at), {}
+        left = min(self.every, self.start + self.most - at["record"])
+        for n, _, start, stop in itertools.islice(_records(self.path, at["record"], at["byte"]), max(0, left)):
+            if (n - at["record"]) % PART == 0:
+                self._marks[n] = start
+            end = {"record": n + 1, "byte": stop}
+        self._at = end
+        return end
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        self._at = max(self._at, end["record"])
-        return [_Range(start["record"], end["record"])]
+        if self._at is None or self._at["record"] < end["record"]:
+            self._at = dict(end)
+        marks = {start["record"]: start["byte"]} | {n: b for n, b in self._marks.items() if start["record"] < n < end["record"]}
+        firsts = sorted(marks)
+        return [_Range(n, stop, marks[n]) for n, stop in zip(firsts, [*firsts[1:], end["record"]], strict=True)]
 
     def read(self, part: _Range) -> Iterator[tuple]:
-        for n, text in _records(self.path, part.first):
-            if n >= part.end:
-                return
+        for n, text, _, _ in itertools.islice(_records(self.path, part.first, part.byte), max(0, part.end - part.first)):
             yield n, text
 
     def commit(self, end: dict) -> None:
