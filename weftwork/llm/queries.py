@@ -142,6 +142,20 @@ m AS (SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(verdict, le
 SELECT u.page_id, host, path, rule, coalesce(m.verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)
 """
 
+_OP8 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d)),
+f AS (SELECT k, min((doc_id, i)) AS first FROM k GROUP BY k HAVING count(*) > 1),
+r AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k JOIN f USING (k) WHERE (doc_id, i) <> first),
+g AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+s AS (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM g GROUP BY doc_id, run),
+p AS (SELECT doc_id, lo, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS beg FROM (SELECT * FROM s UNION ALL SELECT doc_id, length(h) // 2, NULL FROM d)),
+t AS (SELECT p.doc_id, string_agg(substr(h, 2 * beg + 1, 2 * (lo - beg)), '' ORDER BY lo) AS kept FROM p JOIN d ON p.doc_id = d.doc_id GROUP BY p.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, ((length(h) - length(kept)) // 2)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t ON d.doc_id = t.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
 _OP10 = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h FROM pages),
 g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first FROM p),
@@ -152,4 +166,4 @@ SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, array_to_string(list_t
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _OP3, "op4_decontamination": _OP4, "op5_mixing": _OP5, "op7_url_filter": _OP7, "op10_warc": _OP10}
+    return {"op3_substring_dedup": _OP3, "op4_decontamination": _OP4, "op5_mixing": _OP5, "op7_url_filter": _OP7, "op8_suffix_array_dedup": _OP8, "op10_warc": _OP10}
