@@ -353,3 +353,63 @@ def test_deep_delegation(spark, tmp_path):
         else:
             with pytest.raises(runtime.DelegationError, match="max depth 3"):
                 runner.run(str(tmp_path / "w0.yaml"), artifacts=False)
+
+
+def test_report_path_and_live_console(spark, tmp_path):
+    path = tmp_path / "w.yaml"
+    path.write_text("name: w\nstages:\n  - id: a\n    instructions: x\n    validate:\n      onFailure: warn\n      rules:\n        - {kind: contains, path: b, value: z}\n")
+    out, report = io.StringIO(), tmp_path / "deep" / "r.json"
+    args = [str(path), "--out", str(report), "--output-dir", str(tmp_path / "o"), "--console", "full"]
+    assert runtime.main(args, spark, StubClient(lambda p: '{"b": "y"}'), out) == 0
+    told = json.loads(report.read_text())
+    assert told["ok"] and told["traces"][0]["subtraces"] and (tmp_path / "o" / "w.jsonl").exists() and not (tmp_path / "deep" / "w.jsonl").exists()
+    said = out.getvalue()
+    assert "100% (1/1)" in said and said.count("Warning [a]") == len(told["warnings"]) == 1
+
+
+def test_top_level_errors_and_endpoint(monkeypatch):
+    assert runtime.classify(ValueError("Pipeline requires API key env 'K', but it is not set"))[0] == "AuthenticationError"
+    assert runtime.classify(RuntimeError("HTTP 401: no"))[0] == "AuthenticationError" and runtime.classify(FileNotFoundError("x"))[0] == "FileNotFoundError"
+    monkeypatch.setenv("WEFTWORK_ENDPOINT", "http://h:1")
+    assert runtime.client_of({}, runtime.RunOptions()).endpoint.startswith("http://h:1/") and runtime.client_of({"endpoint": "http://d"}, runtime.RunOptions()).endpoint.startswith("http://d/")
+
+
+def test_gates_look_only_at_what_they_name(spark, monkeypatch):
+    from weftwork.plans import engine
+
+    asked = []
+    real = engine.Result.value
+    monkeypatch.setattr(engine.Result, "value", lambda self, k: (asked.append(k), real(self, k))[1])
+    stages = [{"id": "one", "instructions": "x"}, {"id": "two", "instructions": "x"}, {"id": "three", "instructions": "x", "when": {"path": "outputsByStage.two.go", "equals": True}}]
+    got = engine.StageEngine(spark, StubClient(lambda p: '{"go": true}')).run(stages)
+    assert got.statuses["three"] == "executed" and asked == ["two"]
+
+
+def test_many_traces_stay_in_their_table(spark, monkeypatch):
+    from weftwork.plans import engine
+    from weftwork.sources.records import records_of
+
+    monkeypatch.setattr(engine, "TRACED_ITEMS", 2)
+    stage = {"id": "r", "mode": "record_transform", "instructions": "x", "transform": {"kind": "conversation_rewrite", "conversationsPath": "c", "roleField": "from", "contentField": "value", "targetRoles": ["gpt"]}}
+    records = records_of(spark, [{"c": [{"from": "gpt", "value": f"v{i}"}]} for i in range(3)])
+    got = engine.StageEngine(spark, StubClient(lambda p: '{"value": "new"}')).run([stage], records=records)
+    trace = got.traces[0]
+    assert trace["items"] == 3 and spark.read.parquet(trace["subtracesTable"]).count() == 3
+
+
+def test_stream_source_reads_its_own_bytes(tmp_path):
+    from weftwork.streaming import record_stream as S
+
+    path = tmp_path / "x.jsonl"
+    path.write_bytes("".join(f'{{"n": "é{i}"}}\n' + "\n" * (i % 3) for i in range(1700)).encode())
+    whole = [(n, t) for n, t, _, _ in S._records(str(path))]
+    reader = S._Reader({"path": str(path), "start": "5", "limit": "1500"})
+    at, seen, sizes = reader.initialOffset(), [], []
+    while (end := reader.latestOffset()) != at:
+        parts = reader.partitions(at, end)
+        sizes.append(len(parts))
+        seen += [x for p in parts for x in reader.read(p)]
+        again = S._Reader({"path": str(path), "start": "5", "limit": "1500"}).partitions(at, end)  # after a restart
+        assert len(again) == 1 and list(reader.read(again[0])) == seen[-(end["record"] - at["record"]) :]
+        at = end
+    assert seen == whole[5:1505] and sizes == [4, 2]
