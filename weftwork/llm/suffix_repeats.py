@@ -103,18 +103,19 @@ def maximal_repeats(s: R.Shape, c: R.Contexts) -> Iterator[tuple[int, int, list[
 
 
 def compare(s: R.Shape, c: R.Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every occurrence but the earliest of each maximal repeat, as spans."""
-    idx: list[int] = []
-    lo: list[int] = []
-    hi: list[int] = []
+    """Of every occurrence but the earliest of each maximal repeat the union of its spans: all of them hold the anchor, so it
+    is one span for each context."""
+    back, on = [0] * len(c.h), [0] * len(c.h)
     for m, depth, group in maximal_repeats(s, c):
         first = min(group)  # contexts are in corpus order
         for x in group:
             if x != first:
-                idx.append(x)
-                lo.append(m)
-                hi.append(depth)
-    return np.array(idx, np.int64), -np.array(lo, np.int64), np.array(hi, np.int64)
+                if m > back[x]:
+                    back[x] = m
+                if depth > on[x]:
+                    on[x] = depth
+    i = np.flatnonzero(on)
+    return i, -np.array(back, np.int64)[i], np.array(on, np.int64)[i]
 
 
 def _bytes(text: bytes) -> np.ndarray:
