@@ -7,12 +7,16 @@ differing bit is a wildcard.  Each distinct fingerprint is indexed under its 64
 meet, and the pairs are verified.
 
 Only distinct fingerprints are indexed, so thousands of exact copies are one entry.  A bucket of equal variants emits
-a spanning forest of its verified links, never all its pairs, which leaves the components as they are.  A bucket of
-more than ``DENSE`` fingerprints is indexed again by the same rule over its other bits before pairs are compared.
+a spanning forest of its verified links, never all its pairs, which leaves the components as they are.  Buckets that may
+hold more than ``DENSE`` fingerprints are found by counting, and dealt again before anything gathers them: their rows are
+indexed by the same rule over their other bits, under (variant, variant of a piece of the other bits).  What is still
+larger than that is indexed a third time, in its task.
 
 Defined results: null and blank texts have fingerprint zero and link like others; rows with a null ``doc_id`` take
 part, and the component's id is the smallest id that is not null (null if there is none); repeated rows share
-fingerprint and component; an empty table gives an empty table.
+fingerprint and component; a very long text is read whole, its shingles hashed in parts; a bit set in exactly half of the
+shingles is 0; columns named like one that is added for the work are dropped, others are kept or not looked at; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -150,31 +154,85 @@ def forest(fps: np.ndarray, ids: np.ndarray, up: np.ndarray, most: int = MOST_BI
     return out
 
 
-def links(fps: DataFrame, most: int = MOST_BITS, parts: int = SEGMENTS) -> DataFrame:
+def crowded_variants(fps: DataFrame, parts: int = SEGMENTS, dense: int = DENSE) -> DataFrame | None:
+    """The variants (a written table) whose buckets may hold more than ``dense`` fingerprints, None if there are none.  A
+    bucket is fed by two values of its segment, so it is that large only if one of them occurs more than dense / 2 times."""
+    value = [F.lit(s << 27).bitwiseOR(F.shiftrightunsigned(F.col(FP), at).bitwiseAND(F.lit((1 << width) - 1)).cast("int")) for s, (at, width) in enumerate(_segments(64, parts))]
+    often = fps.select(F.explode(F.array(*value)).alias("value")).groupBy("value").count().where(F.col("count") > dense // 2)
+    wild = F.transform(F.sequence(F.lit(0), F.lit(-(-64 // parts) - 1)), lambda b: F.expr("value").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1), b))).bitwiseOR(F.call_function("shiftleft", b, F.lit(22))))
+    found = materialize(often.select(F.explode(wild).alias("variant")).distinct(), "crowded")
+    return found if found.take(1) else None
+
+
+def _pieces(segment: int, parts: int) -> list[np.ndarray]:
+    """The bits outside a segment, in near-equal pieces."""
+    return np.array_split(np.concatenate([np.arange(a, a + w) for i, (a, w) in enumerate(_segments(64, parts)) if i != segment]), parts)
+
+
+def _dealt_again(keyed: DataFrame, parts: int) -> DataFrame:
+    """Rows of crowded variants under the one-wildcard variants of the pieces of their other bits: (simhash_bits, variant,
+    bit, part), where ``bit`` is the wildcard and ``part`` the rest of its piece."""
+    out = None
+    for s in range(parts):
+        again = []
+        for piece in _pieces(s, parts):
+            mask = sum(1 << int(b) for b in piece)
+            for b in piece.tolist():
+                keep = mask & ~(1 << b)
+                again.append(F.struct(F.lit(b).alias("bit"), F.col(FP).bitwiseAND(F.lit(keep - (1 << 64) if keep >> 63 else keep).cast("long")).alias("part")))
+        own = keyed.where(F.shiftright("variant", 27) == s).select(FP, "variant", F.explode(F.array(*again)).alias("x")).select(FP, "variant", "x.*")
+        out = own if out is None else out.union(own)
+    return out
+
+
+def links(fps: DataFrame, most: int = MOST_BITS, parts: int = SEGMENTS, dense: int = DENSE) -> DataFrame:
     """``fps`` (simhash_bits, distinct) to verified links (u, v) that span the components."""
     if most // parts > 1 or not 3 <= parts <= 16:
         raise ValueError(f"{parts} segments do not hold {most} bits with one at most in one of them")
     keyed = fps.select(FP, F.explode(F.array(*variants(FP, parts))).alias("variant"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_k, rest_f = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        rest: list[np.ndarray] | None = None
         for b in batches:
-            k = np.concatenate((rest_k, b.column(1).to_numpy()))
-            f = np.concatenate((rest_f, b.column(0).to_numpy()))
-            cut = int(np.searchsorted(k, k[-1], "left")) if len(k) else 0  # the last key may go on in the next batch
-            yield from _bucket_links(k[:cut], f[:cut], most, parts)
-            rest_k, rest_f = k[cut:], f[cut:]
-        yield from _bucket_links(rest_k, rest_f, most, parts)
-
-    n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), fps.count() // TASK_FINGERPRINTS)
-    return keyed.repartition(n, "variant").sortWithinPartitions("variant").mapInArrow(meet, "u long, v long")
-
-
-def _bucket_links(k: np.ndarray, f: np.ndarray, most: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """k: sorted keys, f: fingerprints."""
-    if len(k) < 2:
+            own = [c.to_numpy() for c in b.columns]
+            own = own if rest is None else [np.concatenate(x) for x in zip(rest, own, strict=True)]
+            starts = _starts(own[1:])
+            cut = int(starts[-1]) if len(starts) else 0  # the last key may go on in the next batch
+            yield from _bucket_links([c[:cut] for c in own], most, parts, dense)
+            rest = [c[cut:] for c in own]
+        if rest is not None:
+            yield from _bucket_links(rest, most, parts, dense)
+
+    def met(rows: DataFrame, n_rows: int) -> DataFrame:
+        n, keys = max(least, n_rows // (64 * TASK_FINGERPRINTS)), rows.columns[1:]
+        return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(meet, "u long, v long")
+
+    least, n_fps = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), fps.count()
+    crowded = crowded_variants(fps, parts, dense) if n_fps > dense else None
+    if crowded is None:
+        return met(keyed, 64 * n_fps)
+    again = materialize(keyed.join(crowded, "variant", "left_semi").select(FP, "variant"), "dense")
+    few = keyed.join(crowded, "variant", "left_anti").select(FP, "variant")
+    return met(few, 64 * n_fps).union(met(_dealt_again(again, parts), 64 * again.count()))
+
+
+def _starts(keys: list[np.ndarray]) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _bucket_links(rows: list[np.ndarray], most: int, parts: int, dense: int) -> Iterator[pa.RecordBatch]:
+    """rows: fingerprints, then their sorted keys: the variant, and of crowded ones the wildcard and part of a piece."""
+    f, keys = rows[0], rows[1:]
+    if len(f) < 2:
         return
-    edge = np.concatenate(([0], np.flatnonzero(np.diff(k)) + 1, [len(k)]))
+    edge = np.append(_starts(keys), len(f))
     size = np.diff(edge)
     two = edge[:-1][size == 2]
     a, b = f[two], f[two + 1]
@@ -182,8 +240,9 @@ def _bucket_links(k: np.ndarray, f: np.ndarray, most: int, parts: int) -> Iterat
     us, vs = [a[ok]], [b[ok]]
     for at, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
         own = f[at : at + n].view(np.uint64)
-        seg = int(k[at]) >> 27
-        found = bucket_forest(own, [x for i, x in enumerate(_segments(64, parts)) if i != seg], DENSE, most, parts)
+        pieces = _pieces(int(keys[0][at]) >> 27, parts)
+        left = np.concatenate([p for p in pieces if len(keys) == 1 or int(keys[1][at]) not in p])
+        found = bucket_forest(own, left, dense, most, parts)
         if found:
             i, j = np.array(found).T
             us.append(own[i].view(np.int64))
@@ -193,13 +252,13 @@ def _bucket_links(k: np.ndarray, f: np.ndarray, most: int, parts: int) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def bucket_forest(fps: np.ndarray, left: list[tuple[int, int]], dense: int = DENSE, most: int = MOST_BITS, parts: int = SEGMENTS) -> list[tuple[int, int]]:
+def bucket_forest(fps: np.ndarray, left: np.ndarray, dense: int = DENSE, most: int = MOST_BITS, parts: int = SEGMENTS) -> list[tuple[int, int]]:
     """Links that span the components of a bucket.  More than ``dense`` members are indexed again: they may differ by
-    ``most`` in the ``left`` ranges, so of ``parts`` near-equal pieces of those bits one differs by at most one bit."""
+    ``most`` of the bits ``left``, so of ``parts`` near-equal pieces of those bits one differs by at most one bit."""
     up, out = np.arange(len(fps)), []
     if len(fps) <= dense:
         return forest(fps, up.copy(), up, most)
-    for piece in np.array_split(np.concatenate([np.arange(a, a + w) for a, w in left]), parts):
+    for piece in np.array_split(left, parts):
         seg = np.zeros(len(fps), np.uint64)
         for i, bit in enumerate(piece):
             seg |= ((fps >> np.uint64(bit)) & np.uint64(1)) << np.uint64(i)
