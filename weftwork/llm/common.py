@@ -13,11 +13,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's ``spark.checkpoint.dir``; a private one is set only where that is unset."""
+    """A new folder below the session's ``spark.checkpoint.dir``.  A private one is set only where that is unset, and only
+    by a session that runs on this machine alone."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="weftwork-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/weftwork/{name}-{uuid.uuid4().hex}"

@@ -155,13 +155,23 @@ def forest(fps: np.ndarray, ids: np.ndarray, up: np.ndarray, most: int = MOST_BI
 
 
 def crowded_variants(fps: DataFrame, parts: int = SEGMENTS, dense: int = DENSE) -> DataFrame | None:
-    """The variants (a written table) whose buckets may hold more than ``dense`` fingerprints, None if there are none.  A
-    bucket is fed by two values of its segment, so it is that large only if one of them occurs more than dense / 2 times."""
+    """(variant, again), a written table: ``again`` marks variants whose bucket holds more than ``dense`` fingerprints, the
+    others need no bucket.  None if no segment has a value that occurs more than dense / 2 times.
+
+    A bucket is fed by two values of its segment, which differ in the wildcard.  Where one of them does not occur, all its
+    members have equal segments and meet under the segment's first wildcard as well, so the other buckets are needless."""
     value = [F.lit(s << 27).bitwiseOR(F.shiftrightunsigned(F.col(FP), at).bitwiseAND(F.lit((1 << width) - 1)).cast("int")) for s, (at, width) in enumerate(_segments(64, parts))]
-    often = fps.select(F.explode(F.array(*value)).alias("value")).groupBy("value").count().where(F.col("count") > dense // 2)
-    wild = F.transform(F.sequence(F.lit(0), F.lit(-(-64 // parts) - 1)), lambda b: F.expr("value").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1), b))).bitwiseOR(F.call_function("shiftleft", b, F.lit(22))))
-    found = materialize(often.select(F.explode(wild).alias("variant")).distinct(), "crowded")
-    return found if found.take(1) else None
+    values = materialize(fps.select(F.explode(F.array(*value)).alias("value")).groupBy("value").agg(F.count("*").alias("n")), "values")
+    often = values.where(F.col("n") > dense // 2)
+    if not often.take(1):
+        return None
+    bit = F.call_function("shiftleft", F.lit(1), F.col("b"))
+    wild = often.select("value", "n", F.explode(F.sequence(F.lit(0), F.lit(-(-64 // parts) - 1))).alias("b")).withColumn("other", F.col("value").bitwiseXOR(bit))
+    both = wild.join(values.select(F.col("value").alias("other"), F.col("n").alias("n_other")), "other", "left")
+    variant = F.col("value").bitwiseAND(F.bitwise_not(bit)).bitwiseOR(F.call_function("shiftleft", F.col("b"), F.lit(22)))
+    needless = (F.col("b") > 0) & F.col("n_other").isNull()
+    again = ~needless & (F.col("n") + F.coalesce("n_other", F.lit(0)) > dense)
+    return materialize(both.where(needless | again).select(variant.alias("variant"), again.alias("again")).distinct(), "crowded")
 
 
 def _pieces(segment: int, parts: int) -> list[np.ndarray]:
@@ -211,7 +221,7 @@ def links(fps: DataFrame, most: int = MOST_BITS, parts: int = SEGMENTS, dense: i
     crowded = crowded_variants(fps, parts, dense) if n_fps > dense else None
     if crowded is None:
         return met(keyed, 64 * n_fps)
-    again = materialize(keyed.join(crowded, "variant", "left_semi").select(FP, "variant"), "dense")
+    again = materialize(keyed.join(crowded.where("again"), "variant", "left_semi").select(FP, "variant"), "dense")
     few = keyed.join(crowded, "variant", "left_anti").select(FP, "variant")
     return met(few, 64 * n_fps).union(met(_dealt_again(again, parts), 64 * again.count()))
 
