@@ -1,5 +1,6 @@
 """Learned operators: held-out accuracy, exact statistics, edge cases."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -97,6 +98,65 @@ def test_quality_held_out(spark):
     assert np.mean(good) > 0.95
 
 
+def slow_score(ranker, text):
+    """A quality score from counts made one at a time, and plain sums."""
+    text = text or ""
+    raw = text.encode()
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, c = max(1, len(words)), max(1, len(raw))
+    share = lambda chars: sum(text.count(x) for x in chars) / c
+    sym, up = share("#*$%&|<>{}[]\\^~_=+@/"), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    kinds = len(set(words)) / n
+    x = [
+        math.log(1 + len(words)), min(len(words), 30) / 30, sym**0.5, sym, up**0.5, up, share("0123456789"), share(".,;:"), share("!?"), share([chr(i) for i in range(32)]),
+        kinds, 1 - kinds if len(words) > 20 else 0.0, (again / n) ** 0.5, 1 - len(set(lines)) / max(1, len(lines)),
+        sum(len(w.encode()) == 1 for w in words) / n, c / n / 10, float(not words),
+    ]
+    z = [min(4.0, max(-4.0, (a - m) / s)) for a, m, s in zip(x, ranker.mean, ranker.scale, strict=True)]
+    raw_score = sum(a * w for a, w in zip(z + [a * a for a in z], ranker.weights, strict=True))
+    return 1 / (1 + math.exp(-min(40.0, max(-40.0, ranker.slope * (raw_score - ranker.threshold) + math.log(0.3 / 0.7)))))
+
+
+def test_quality_scores_equal_a_naive_pass(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    ranker = queries.quality_of(spark, docs, sf)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = queries.op6_quality_classifier(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = slow_score(ranker, texts[r.doc_id])
+        assert abs(r.score - want) < 1e-9 and r.predicted == (r.score >= 0.3)
+    odd_ones = [None, "", " \n", "A A A", "é" * 200, "# $ %", "word " * 100_000, "one\ntwo\none\n\n"]
+    df = spark.createDataFrame(list(enumerate(odd_ones)), "doc_id long, text string")
+    for r in Q.score(df, ranker).collect():
+        assert abs(r.quality_score - slow_score(ranker, odd_ones[r.doc_id])) < 1e-9
+
+
+def test_verdicts_of_rules_equal_a_naive_pass(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents")
+    rules = D.fit(docs, table(spark, sf, "labels"))
+    assert rules
+    texts = {r.doc_id: r.text for r in docs.where("doc_id % 3 = 0").collect()}
+    got = {r.doc_id: r for r in queries.op9_quality_rules(spark, sf).collect()}
+    assert len(got) == docs.count()
+    for d, text in texts.items():
+        n, chars, symbols, dup, repeat = slow_statistics(text)
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (text or "").split("\n"))
+        x = {
+            "symbols per word": symbols / max(n, 1), "characters per word": chars / max(n, 1), "share of words in repeated windows": repeat / max(n, 1),
+            "share of repeated lines": dup / max(lines, 1), "share of upper case": sum("A" <= c <= "Z" for c in text or "") / max(chars, 1),
+            "share of words like the one before": sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(n, 1), "words per line": n / max(lines, 1),
+        }
+        hit = any(all(x[c.test] > c.limit if c.above else x[c.test] <= c.limit for c in rule) for rule in rules)
+        failed = n < 50 or 100 * repeat > 50 * n
+        assert (got[d].base_failed, got[d].kept) == (failed, not failed and not hit)
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(5, 1), (6, 1), (4, 0), (7, 0), (7, 0), (None, 1), (8, None)], "doc_id long, quality int")
     ranker = Q.fit(odd(spark), labels, F.lit(True))

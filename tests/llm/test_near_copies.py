@@ -10,7 +10,7 @@ from weftwork.llm import set_similarity
 
 def slow_kept(rows):
     def grams(t):
-        w = (t or "").lower().split()
+        w = (t or "").encode().lower().split()  # bytes: A-Z and the six ASCII blanks alone
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
     sets = [grams(t) for _, t in rows]
