@@ -7,7 +7,8 @@ rule covers is taken out before the next one grows.  The list is emitted as an o
 the statistics, so it is read, stored and run as any other Spark column.
 
 Defined results: null text has no words; a document without words fails the base rules; where a label is missing the
-list is empty and keeps all; repeated rows get equal results; an empty table gives an empty one.
+list is empty and keeps all; repeated rows get equal results; a value that ties with a threshold is on its lower side; very
+long texts are counted whole; an empty table gives an empty one; columns other than the id and text are not looked at.
 """
 
 from __future__ import annotations

@@ -13,8 +13,8 @@ in which the prefix ends is dealt again by the next two digits until it holds at
 
 All of it is built-in expressions.  Tokens are words.  Defined results: null language or source is the node ``none``;
 documents without tokens are never taken; weights that are not given are 1, a weight of 0 gives nothing; rows of equal
-doc_id stand at one place of the order and are in the prefix together; an empty table gives an empty table; columns
-named like an added one are replaced.
+doc_id stand at one place of the order and are in the prefix together; very long texts are split whole; an empty table
+gives an empty table; columns named like an added one are replaced.
 """
 
 from __future__ import annotations

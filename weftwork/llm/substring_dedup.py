@@ -11,7 +11,8 @@ no broadcast of them has a size bound.
 
 Defined results: null text has no words and stays null; rows with equal ``doc_id`` are not smaller than each other, so
 equal rows are treated alike; null ids come last; texts of fewer words than the window lose nothing; an empty table
-gives an empty table; input columns are kept, but columns named like an added one are replaced.
+gives an empty table; very long texts are read whole, their windows in blocks; input columns are kept, but columns
+named like an added one are replaced.
 """
 
 from __future__ import annotations

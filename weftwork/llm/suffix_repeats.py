@@ -11,7 +11,7 @@ earliest occurrence stays.
 Defined results: null text counts as empty, stays null and loses nothing; texts shorter than the window lose nothing;
 rows with equal ``doc_id`` (null ids come last) are separate documents, earlier by their place in a packed chunk, so
 of fully equal rows one stays whole; an empty table gives an empty table; all input columns are returned as they are,
-but columns named like an added one are replaced.
+but columns named like an added one are replaced; very long texts are read whole, their windows in blocks.
 """
 
 from __future__ import annotations

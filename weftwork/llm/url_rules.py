@@ -9,7 +9,8 @@ The trie is broadcast, so the number of rules is checked against MOST_RULES firs
 
 Defined results: the host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; the
 path goes on from there to ``?``, ``#`` or the end; a null url, or one without ``://``, has empty host and path and
-gets the default; repeated rows get equal results; an empty table gives an empty table.
+gets the default; repeated rows get equal results; rules of equal host and path that disagree: the one given first holds; very
+long urls are read whole; an empty table gives an empty table; columns other than the id and url are not looked at.
 """
 
 from __future__ import annotations
