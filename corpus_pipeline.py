@@ -1,6 +1,13 @@
 """From raw documents to a training mix: quality, near-duplicates, repeated passages, benchmark leaks, weights.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+
+Defined results of every stage: null and empty texts go through (the classifier scores them, blank texts are one group of
+near-duplicates, nothing is cut from them, they hold no benchmark item, and the mix never takes a document without words);
+null ids come last in both dedup stages, null languages and sources are nodes of their own in the mix; very long texts are read whole; of a group of
+near-duplicates the smallest id stays, any one of rows that tie; repeated rows stay but in the near-dedup stage; extra columns
+are kept whatever their names, but ones named like a column that a stage adds for its work (``simhash_*``, ``repeat_spans``,
+``quality_score_of_stage``, in the mix ``mix_*``, ``n_tokens``, ``n_copies``) go; an empty table gives an empty table.
 """
 
 from __future__ import annotations
