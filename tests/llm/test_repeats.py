@@ -79,7 +79,7 @@ def frame(spark, rows, parts=3):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("hot", [2, 512])
+@pytest.mark.parametrize("hot", [1, 2, 512])
 def test_words(spark, seed, hot):
     rows = corpus(seed)
     got = sorted([tuple(r) for r in copied_words_digest(frame(spark, rows), hot=hot).collect()], key=str)
@@ -87,7 +87,7 @@ def test_words(spark, seed, hot):
 
 
 @pytest.mark.parametrize("seed", [3, 4])
-@pytest.mark.parametrize("hot", [2, 512])
+@pytest.mark.parametrize("hot", [1, 2, 512])
 def test_bytes(spark, seed, hot):
     rows = [(i, t) for i, (_, t) in enumerate(corpus(seed))]
     got = sorted([tuple(r) for r in repeat_digest(frame(spark, rows), hot=hot).collect()], key=str)
@@ -134,6 +134,7 @@ def test_every_removal_comes_from_the_index(spark, monkeypatch, digest, module):
     none = np.zeros(0, np.int64)
     monkeypatch.setattr(module, "compare", lambda s, c: (none, none, none))
     assert {r.n_removed for r in digest(frame(spark, rows)).collect()} == {0}
+    assert {r.n_removed for r in digest(frame(spark, rows), hot=1).collect()} == {0}
 
 
 def test_words_with_one_polynomial_hash(spark):
@@ -160,8 +161,19 @@ def test_a_gram_with_many_contexts(spark):
     own = [say() for _ in range(900)]
     rows = [(i, rnd.choice(own) + " the very same passage in all of the rows! " + rnd.choice(own)) for i in range(1500)]
     assert sorted([tuple(r) for r in repeat_digest(frame(spark, rows, 6)).collect()], key=str) == brute_bytes(rows)
-    assert sorted([tuple(r) for r in repeat_digest(frame(spark, rows, 6), hot=50).collect()], key=str) == brute_bytes(rows)
+    for hot in (2, 50, 500):  # cut into one part a window, into eight, into two
+        assert sorted([tuple(r) for r in repeat_digest(frame(spark, rows, 6), hot=hot).collect()], key=str) == brute_bytes(rows)
     assert sorted([tuple(r) for r in copied_words_digest(frame(spark, rows, 6)).collect()], key=str) == brute_words(rows)
+    words = [(i, t.replace("e", "e ").replace("a", " a ")) for i, t in rows]
+    for hot in (2, 50, 500):
+        assert sorted([tuple(r) for r in copied_words_digest(frame(spark, words, 6), hot=hot).collect()], key=str) == brute_words(words)
+
+
+def test_few_contexts_held_at_a_time(spark, monkeypatch):
+    """Parts of one row's neighbouring anchors are cut in different turns; none is taken for its own copy."""
+    monkeypatch.setattr(R, "HELD", 3)
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(11, 30))]
+    assert sorted([tuple(r) for r in repeat_digest(frame(spark, rows), hot=1).collect()], key=str) == brute_bytes(rows)
 
 
 def test_intervals():

@@ -13,8 +13,8 @@ corpus, for every window of every row, without moving every window:
 4. *Compare.*  The contexts of a gram go to the operator's own index (suffix array or automaton), and one more row stands
    for the later occurrences of a context.  What the index says of that row holds for all references, so that every
    removal comes from the index, but a repeated context is moved and compared once.  A gram of more than ``hot``
-   different contexts would make one task large: there the windows are compared by 128-bit hash instead, merged per chunk
-   first and dealt over all buckets.
+   different contexts would make one task large: its contexts are cut into parts, each for the windows that hold a longer
+   gram around it, and dealt by that gram (``_parts``; the more contexts, the longer).  Parts go to the same index.
 5. *Apply.*  The spans, relative to their anchors, return to the chunks and are spread over the anchors.
 
 Step 3 gathers 25 bytes for each different (gram, context, chunk) of a gram hash in one task, the other steps one chunk or
@@ -40,8 +40,12 @@ BLOCK = 1 << 19
 #: Of the chunks, which are written once and moved twice.
 LEVEL = 6
 HOT = 4096
+#: (up to so many times ``hot`` contexts of a gram, parts of each); beyond the last a part is one window.
+PARTS = ((1, 1), (16, 2), (128, 8))
 #: Chunks and buckets for each task of an exchange.
 TASK_CHUNKS, TASK_BUCKETS = 8, 2
+#: Contexts cut into parts at a time.
+HELD = 20_000
 LAST = np.iinfo(np.int64).max
 
 R1, R2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -275,9 +279,10 @@ def dealt(h: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int, int]]
     return order, list(zip(b[first].tolist(), first.tolist(), ends.tolist(), strict=True))
 
 
-#: What a chunk is told of an entry: its first occurrence is elsewhere; send its context; send the windows of its first
-#: occurrence; the first occurrence is here (or, if only smaller documents count, in a row of the same document).
-REFERS, SEND, WINDOWS, FIRST = 1, 2, 4, 8
+#: What a chunk is told of an entry: its first occurrence is elsewhere; send its context; the first occurrence is here (or,
+#: if only smaller documents count, in a row of the same document).  From bit LEVEL_BIT on: into how many parts (an index of
+#: PARTS) the context of its first occurrence is cut and sent, too.
+REFERS, SEND, FIRST, LEVEL_BIT = 1, 2, 8, 4
 
 
 def resolve(s: Shape, h: np.ndarray, ctx: np.ndarray, doc: np.ndarray, multi: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -292,8 +297,8 @@ def resolve(s: Shape, h: np.ndarray, ctx: np.ndarray, doc: np.ndarray, multi: np
     later = ds > ds[first] if s.strict else ~new_c
     copied = np.bincount(c, later | multi[order])[c] > 0
     live = copied | (many > 1)
-    told = np.where(new_c, np.where(copied | (many <= s.hot), SEND, 0), REFERS) | np.where(later, 0, FIRST)
-    told |= np.where((many > s.hot) & ~later, WINDOWS, 0)
+    level = np.searchsorted([s.hot * times for times, _ in PARTS], many, "left")
+    told = np.where(new_c, np.where(copied | (level == 0), SEND, 0), REFERS) | np.where(later, 0, FIRST | level << LEVEL_BIT)
     out, leader = np.empty(len(h), np.uint8), np.empty(len(h), np.int64)
     out[order] = np.where(live, told, 0)
     leader[order] = order[first]
@@ -302,7 +307,7 @@ def resolve(s: Shape, h: np.ndarray, ctx: np.ndarray, doc: np.ndarray, multi: np
 
 def bucket_key(h: np.ndarray, ctx: np.ndarray, status: np.ndarray) -> np.ndarray:
     """What contexts meet under: their gram, but those of a gram with too many only their own copies."""
-    return np.where(status & WINDOWS, mix(h ^ mix(ctx)), h)
+    return np.where(status >> LEVEL_BIT, mix(h ^ mix(ctx)), h)
 
 
 def merge_spans(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -319,9 +324,9 @@ def merge_spans(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.nda
     return row[new], lo[new], top[last] - row[new] * big
 
 
-#: Rows that move: entries and what is told of them; contexts; windows; references; and for the end spans, the places of
+#: Rows that move: entries and what is told of them; contexts and parts of them; references; and for the end the places of
 #: entries, and spans relative to the anchors of an entry.
-ENTRIES, CONTEXTS, WINDOW_ROWS, REFERENCES, SPANS, PLACES, REPLIES = range(7)
+ENTRIES, CONTEXTS, REFERENCES, PLACES, REPLIES = range(5)
 _OUT = "kind int, bucket int, chunk long, at int, n int, blob binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
 
@@ -330,10 +335,6 @@ def _row(kind: int, bucket: int, chunk: int, n: int, blob: bytes, at: int = 0) -
     return {"kind": kind, "bucket": bucket, "chunk": chunk, "at": at, "n": n, "blob": blob}
 
 
-def _span_row(chunk: int, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> dict:
-    return _row(SPANS, 0, chunk, len(row), dump(row.astype(np.int64), lo.astype(np.int64), hi.astype(np.int64)))
-
-
 def table_of(rows: list[dict]) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=_SCHEMA)
 
@@ -364,23 +365,37 @@ def _gather(s: Shape, ix: Index, keep: dict[int, np.ndarray], pick: np.ndarray)
     return out
 
 
-def _windows(s: Shape, tok: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Every window around each anchor: (index, start relative to the anchor, hash, other hash)."""
+def _parts(s: Shape, level: int, tok: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The parts of contexts, of each: (index of the context, key, hash of the part, left, right).
+
+    The windows around an anchor start 0 to ``reach`` tokens before it.  Those that start lo to hi before it all hold the
+    tokens from -lo to window - hi: a gram longer than the anchor's, the longer the fewer starts there are in a part.  Equal
+    windows have equal ones, so they meet under its hash, and a part needs only the tokens that its own windows touch."""
+    n = PARTS[level][1] if level < len(PARTS) else s.reach + 1
+    q = -(-(s.reach + 1) // n)
     t = byte_tokens(tok) if tok.dtype == np.uint8 else tok
-    idx, rel, one, two = [], [], [], []
-    pre = []
+    sums = []
     for r in (R1, R2):
         p = np.zeros((len(t), t.shape[1] + 1), np.uint64)
         np.cumsum(t * powers(r, t.shape[1])[0][: t.shape[1]], axis=1, out=p[:, 1:])
-        pre.append(p)
-    for o in range(s.reach + 1):
-        a = s.reach - o
-        ok = np.flatnonzero((left >= o) & (right >= s.window - o))
-        for p, r, to in ((pre[0], R1, one), (pre[1], R2, two)):
-            to.append(mix((p[ok, a + s.window] - p[ok, a]) * powers(r, t.shape[1])[1][a]))
-        idx.append(ok)
-        rel.append(np.full(len(ok), -o))
-    return tuple(np.concatenate(x) for x in (idx, rel, one, two))
+        sums.append((p, powers(r, t.shape[1])[1]))
+
+    def hashed(which: int, of: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        p, inverse = sums[which]
+        return mix((p[of, s.reach + hi] - p[of, s.reach - lo]) * inverse[s.reach - lo])
+
+    for lo in range(0, s.reach + 1, q):
+        hi = min(lo + q - 1, s.reach)
+        of = np.flatnonzero(np.maximum(lo, s.window - right) <= np.minimum(hi, left))
+        a, b = np.minimum(left[of], hi), np.minimum(right[of], s.window - lo)
+        key = mix(hashed(0, of, np.full(len(of), lo), np.full(len(of), s.window - hi)) + np.uint64(lo + 1))
+        yield of, key, hashed(1, of, a, b) ^ mix((a * 4096 + b).astype(np.uint64) + R1), a, b
+
+
+def _only(s: Shape, tok: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``tok`` with zeros outside left and right."""
+    at = np.arange(tok.shape[1])[None, :] - s.reach
+    return np.where((at >= -left[:, None]) & (at < right[:, None]), tok, np.zeros(1, tok.dtype))
 
 
 def _by_chunk(chunk: np.ndarray) -> list[np.ndarray]:
@@ -442,24 +457,8 @@ def _answers(s: Shape, group: pa.Table, compare: Compare) -> list[dict]:
     return rows
 
 
-def _window_spans(s: Shape, group: pa.Table) -> list[dict]:
-    g = group.filter(pc.equal(group["kind"], WINDOW_ROWS))
-    if not g.num_rows:
-        return []
-    parts = [load(blob.as_buffer(), m, ("u8", 1), ("u8", 1), ("i8", 1), ("i8", 1), ("i8", 1)) for m, blob in zip(g["n"].to_pylist(), g["blob"], strict=True)]
-    chunk = np.repeat(g["chunk"].to_numpy(), g["n"].to_numpy())
-    one, two, doc, row, start = (np.concatenate([p[i] for p in parts]) for i in range(5))
-    o = np.lexsort((start, row, chunk, doc, two, one))
-    new = np.ones(len(o), bool)
-    new[1:] = (one[o][1:] != one[o][:-1]) | (two[o][1:] != two[o][:-1])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))
-    later = doc[o] > doc[o][first] if s.strict else ~new
-    chunk, row, lo = chunk[o][later], row[o][later], start[o][later]
-    return [_span_row(int(chunk[p[0]]), *merge_spans(row[p], lo[p], lo[p] + s.window)) for p in _by_chunk(chunk)]
-
-
 def find(s: Shape, chunks: DataFrame, text: str, doc_id: str, compare: Compare) -> DataFrame:
-    """What ``rewrite`` needs to know of the removed spans: rows of kind SPANS, PLACES and REPLIES for the chunks."""
+    """What ``rewrite`` needs to know of the removed spans: rows of kind PLACES and REPLIES for the chunks."""
     n_chunks = chunks.count()
     n = max(32, n_chunks // 2)
     least = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -523,9 +522,7 @@ def find(s: Shape, chunks: DataFrame, text: str, doc_id: str, compare: Compare)
             early = (mine & FIRST > 0) & ~copy
 
             live = np.flatnonzero(mine & (REFERS | SEND))
-            places = 2 * number[ix.inverse[live]] + ~early[live]
-            o = np.argsort(places, kind="stable")
-            rows.append(_row(PLACES, 0, chunk, len(o), dump(places[o], ix.row[live[o]].astype(np.int32), ix.pos[live[o]].astype(np.int64))))
+            places = [(2 * number[ix.inverse[live]] + ~early[live], ix.row[live], ix.pos[live])]
 
             pick = np.flatnonzero(status & SEND)
             key = bucket_key(ix.h[ix.rep[pick]], ix.ctx[ix.rep[pick]], status[pick])
@@ -535,40 +532,46 @@ def find(s: Shape, chunks: DataFrame, text: str, doc_id: str, compare: Compare)
                 a = ix.rep[e]
                 rows.append(_row(CONTEXTS, k, chunk, len(e), dump(key[by[lo:hi]], doc[e], a.astype(np.int32), number[e].astype(np.int32), ix.left[a].astype(np.uint8), ix.right[a].astype(np.uint8), multi[e].astype(np.uint8), _gather(s, ix, keep, a))))
 
-            spans = [(np.zeros(0, np.int64),) * 3]
-            hot = np.flatnonzero((mine & WINDOWS > 0) & early)
-            for at3 in range(0, len(hot), 20_000):
-                part = hot[at3 : at3 + 20_000]
-                i, rel, one, two = _windows(s, _gather(s, ix, keep, part), ix.left[part], ix.right[part])
-                a = part[i]
-                start = ix.pos[a] + rel
-                once = np.unique((ix.row[a].astype(np.int64) << np.int64(40)) + start, return_index=True)[1]  # a window has several anchors
-                a, start, one, two = a[once], start[once], one[once], two[once]
-                own = ids[ix.row[a]]
-                o = np.lexsort((start, ix.row[a], two, one))
-                same = np.zeros(len(o), bool)
-                same[1:] = (one[o][1:] == one[o][:-1]) & (two[o][1:] == two[o][:-1])
-                if s.strict:  # within one document all starts share the verdict, and each is sent
-                    same[1:] &= own[o][1:] > own[o][np.maximum.accumulate(np.where(~same, np.arange(len(o)), 0))][1:]
-                spans.append((ix.row[a][o][same], start[o][same], start[o][same] + s.window))
-                e = o[~same]
-                by, parts = dealt(one[e], n)
-                for k, lo, hi in parts:
-                    x = e[by[lo:hi]]
-                    rows.append(_row(WINDOW_ROWS, k, chunk, len(x), dump(one[x], two[x], own[x], ix.row[a][x], start[x])))
-            rows.append(_span_row(chunk, *merge_spans(*(np.concatenate(x) for x in zip(*spans, strict=True)))))
+            known = len(ix.rep)  # entries numbered so far
+            for level in range(1, len(PARTS) + 1):
+                hot = np.flatnonzero((mine >> LEVEL_BIT == level) & early)
+                for part in np.split(hot, range(HELD, len(hot), HELD)):
+                    if not len(part):
+                        continue
+                    tok = _gather(s, ix, keep, part)
+                    for of, key, one, left, right in _parts(s, level, tok, ix.left[part], ix.right[part]):
+                        if not len(of):
+                            continue
+                        o = np.lexsort((of, one, key))
+                        a, key, one = part[of[o]], key[o], one[o]  # equal parts in corpus order
+                        new = np.concatenate(([True], (key[1:] != key[:-1]) | (one[1:] != one[:-1])))
+                        e, first = np.cumsum(new) - 1, np.flatnonzero(new)
+                        own = ids[ix.row[a]]
+                        copy = own > own[first][e] if s.strict else ~new
+                        places.append((2 * (known + e) + copy, ix.row[a], ix.pos[a]))
+                        multi, key = np.bincount(e, copy, len(first)) > 0, key[first]
+                        x = of[o][first]
+                        left, right = left[o][first], right[o][first]
+                        by, parts = dealt(key, n)
+                        for k, lo, hi in parts:
+                            y = by[lo:hi]
+                            rows.append(_row(CONTEXTS, k, chunk, len(y), dump(key[y], own[first][y], part[x[y]].astype(np.int32), (known + y).astype(np.int32), left[y].astype(np.uint8), right[y].astype(np.uint8), multi[y].astype(np.uint8), _only(s, tok[x[y]], left[y], right[y]))))
+                        known += len(first)
+            to, row, pos = (np.concatenate(x) for x in zip(*places, strict=True))
+            o = np.argsort(to, kind="stable")
+            rows.append(_row(PLACES, 0, chunk, len(o), dump(to[o], row[o].astype(np.int32), pos[o].astype(np.int64))))
         return table_of(rows)
 
     def last(group: pa.Table) -> pa.Table:
-        return table_of(_answers(s, group, compare) + _window_spans(s, group))
+        return table_of(_answers(s, group, compare))
 
     sent = chunks.mapInArrow(forward, _OUT).repartition(bucket_tasks, "bucket")
     settled = materialize(sent.groupBy("bucket").applyInArrow(settle, _OUT), "settled", "uncompressed")
     told = settled.where(f"kind = {ENTRIES}").repartition(chunk_tasks, "chunk")
     both = materialize(chunks.repartition(chunk_tasks, "chunk").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(back, _OUT), "spans", "uncompressed")
-    asked = both.where(f"kind in ({CONTEXTS}, {WINDOW_ROWS})").unionByName(settled.where(f"kind = {REFERENCES}"))
+    asked = both.where(f"kind = {CONTEXTS}").unionByName(settled.where(f"kind = {REFERENCES}"))
     more = asked.repartition(bucket_tasks, "bucket").groupBy("bucket").applyInArrow(last, _OUT)
-    return both.where(f"kind in ({SPANS}, {PLACES})").unionByName(more).repartition(chunk_tasks, "chunk")
+    return both.where(f"kind = {PLACES}").unionByName(more).repartition(chunk_tasks, "chunk")
 
 
 def _spread(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -579,9 +582,7 @@ def _spread(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for kind, m, blob in zip(found["kind"].to_pylist(), found["n"].to_pylist(), found["blob"], strict=True):
         if not m:
             continue
-        if kind == SPANS:
-            out.append(tuple(load(blob.as_buffer(), m, ("i8", 1), ("i8", 1), ("i8", 1))))
-        elif kind == PLACES:
+        if kind == PLACES:
             place = load(blob.as_buffer(), m, ("i8", 1), ("i4", 1), ("i8", 1))
         else:
             replies.append(load(blob.as_buffer(), m, ("i8", 1), ("i2", 1), ("i2", 1)))
