@@ -33,6 +33,12 @@ def test_columns_agree(spark):
     assert [r[0] for r in df.select(text.normalize(F.col("a"))).collect()] == [js.normalize(a) for a, _ in PAIRS]
 
 
+def test_trigrams_count_utf16_units(spark):
+    pairs = [("\U0001d452x", "\U0001d452y"), ("ab\U0001d452", "abd835dc52"), ("\U0001d452", "\U0001d453"), ("a\U0001d452b c", "a\U0001d453b c"), ("abc", "abc\U0001d452"), ("", "\U0001d452")]
+    got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(text.dice(text.trigrams(F.col("a")), text.trigrams(F.col("b")))).collect()]
+    assert got == pytest.approx([js.dice(js.trigrams(a), js.trigrams(b)) for a, b in pairs])
+
+
 def slow_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

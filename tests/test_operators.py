@@ -78,6 +78,11 @@ def test_constrain(spark):
     with pytest.raises(constrain.ConstrainMismatch):
         constrain.check(closed, GOOD | {"extra": 1})
     assert [r[0] for r in df.limit(2).select(constrain.holds(closed, paths.parse(F.col("j")))).collect()] == [True, False]
+    got = df.select(*constrain.columns(NODE, paths.parse(F.col("j")))).collect()
+    assert [r[0] and json.loads(r[0]) for r in got] == [constrain.check(NODE, v) if ok else None for v, ok in cases]
+    assert [r[1] for r in got] == [None if ok else "constrain_mismatch" for _, ok in cases]
+    with pytest.raises(constrain.ConstrainDeclarationError):
+        constrain.columns(NODE | {"additionalProperties": True}, F.col("j"))
     for bad in ({"type": "x"}, {"type": "string", "pattern": "("}, {"type": "array"}, {"type": "object", "shape": {"a": {"type": "enum", "values": []}}}):
         with pytest.raises(constrain.ConstrainDeclarationError):
             constrain.compile(bad)

@@ -68,10 +68,18 @@ def bigrams(t: Column) -> Column:
     return F.when(F.size(t) < 2, F.array().cast("array<string>")).otherwise(F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda x, y: F.concat(x, F.lit("|"), y)))
 
 
+def utf16_units(c: Column) -> Column:
+    """The text's UTF-16 units, each as a string: a character of the basic plane as itself, another as the four hexadecimal
+    digits of either half (upper case, so that no unit of a lower-case text is taken for one)."""
+    halves = lambda x: F.hex(F.encode(x, "UTF-16BE"))
+    pair = lambda x: F.when(F.rlike(x, F.lit(_ASTRAL)), F.array(F.substring(halves(x), 1, 4), F.substring(halves(x), 5, 4))).otherwise(F.array(x))
+    return F.when(F.rlike(c, F.lit(_ASTRAL)), F.flatten(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), pair))).otherwise(F.split(c, ""))
+
+
 def trigrams(normal: Column) -> Column:
-    """Three characters each (of the basic plane; others count as one here), by joining the text's characters with those
-    after them: taking substrings would walk the text for each."""
-    n, chars = F.length(normal) - 2, F.split(normal, "")
+    """Three UTF-16 units each, by joining the text's units with those after them: taking substrings would walk the text for
+    each."""
+    n, chars = utf16_length(normal) - 2, utf16_units(normal)
     part = lambda i: F.slice(chars, F.lit(i), n)
     three = F.zip_with(F.zip_with(part(1), part(2), lambda x, y: F.concat(x, y)), part(3), lambda x, y: F.concat(x, y))
     return F.when(n < 1, F.array().cast("array<string>")).otherwise(three)

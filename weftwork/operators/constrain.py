@@ -2,7 +2,7 @@
 
 ``compile`` checks the declaration once on the driver.  ``check`` applies it to one value (in Arrow batches and in retry
 loops) and returns the projected value; ``columns`` does the same over a variant column with built-in expressions for
-declarations without open objects, as (JSON projection, error kind).
+declarations without open objects, as (JSON projection, error kind); numbers are printed as the record's parser reads them.
 """
 
 from __future__ import annotations
@@ -138,3 +138,26 @@ def holds(node: dict, v: Column) -> Column:
     if node.get("optional"):
         ok = v.isNull() | ok
     return ok
+
+
+def _projected(node: dict, v: Column) -> Column:
+    kind = node["type"]
+    if kind == "object":
+        if node.get("additionalProperties"):
+            raise ConstrainDeclarationError("Open objects have no column form")
+        fields = []
+        for k, inner in (node.get("shape") or {}).items():
+            at = F.try_variant_get(v, "$['" + k.replace("'", "\\'") + "']", "variant")
+            fields.append(F.when(at.isNotNull(), F.concat(F.lit(js.to_json(k) + ":"), _projected(inner, at))))
+        out = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+    elif kind == "array":
+        out = F.concat(F.lit("["), F.array_join(F.transform(paths.items(v), lambda x: _projected(node["items"], x)), ","), F.lit("]"))
+    else:
+        out = F.to_json(v)
+    return F.when(paths.kind(v) == "null", "null").otherwise(out)
+
+
+def columns(node: dict, v: Column) -> tuple[Column, Column]:
+    """(the JSON text that ``check`` would give, or NULL; error kind, or NULL) of a variant."""
+    ok = holds(node, v)
+    return F.when(ok, _projected(node, v)), F.when(~ok, "constrain_mismatch")

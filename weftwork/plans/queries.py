@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import glob
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +14,12 @@ from weftwork.functions import js, model_json, paths, text
 from weftwork.functions.template import TextTemplate
 from weftwork.operators import constrain, remap, rewrite, validators
 from weftwork.plans import dag, prompts
-from weftwork.plans.engine import StageEngine
-from weftwork.plans.model import StubClient
+from weftwork.plans.engine import StageEngine, StageError
+from weftwork.plans.model import ModelError, ModelOptions, StubClient
+from weftwork.plans.runtime import WorkflowRunner
 from weftwork.sources import records as rec
 from weftwork.sources.scratch import scratch_path
+from weftwork.streaming.record_stream import run_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,6 +131,14 @@ def trigram_dice(spark, sf):
     return same_role_pairs(spark, sf).select("conv_id", "turn", text.dice(text.trigrams(F.col("a")), text.trigrams(F.col("b"))).alias("dice"))
 
 
+@query(_PAIRS + f""" SELECT conv_id, turn, {_dice('x', 'y')} AS dice FROM (SELECT *, {_TRI.format('a2')} AS x, {_TRI.format('b2')} AS y
+  FROM (SELECT *, replace(a, 'e', chr(57344) || chr(57345)) AS a2, replace(b, 'e', chr(57344) || chr(57345)) AS b2 FROM t))""")
+def trigram_dice_utf16(spark, sf):
+    """Each e as a script letter beyond the basic plane, which is two units; the SQL has two private characters in its place."""
+    a, b = (F.replace(F.col(c), F.lit("e"), F.lit("\U0001D452")) for c in "ab")
+    return same_role_pairs(spark, sf).select("conv_id", "turn", text.dice(text.trigrams(a), text.trigrams(b)).alias("dice"))
+
+
 _RECALL = "CASE WHEN len(x) = 0 AND len(y) = 0 THEN fast WHEN len(x) = 0 OR len(y) = 0 THEN 0.0::DOUBLE ELSE least(len(list_intersect(x, y))::DOUBLE / len(x), len(list_intersect(x, y))::DOUBLE / len(y)) END"
 
 
@@ -264,6 +276,53 @@ def val_ref_missing(spark, sf):
     return judged(table(spark, sf, "conversations"), ["conv_id", "turn"], F.to_json(F.struct("text")), [rule])
 
 
+_MIXED_KINDS = """CASE event_id % 5 WHEN 0 THEN [CASE WHEN NOT contains(event_type, 'i') THEN 'contains' END, 'invalid_regex_pattern', 'invalid_scope_pattern', CASE WHEN event_id % 2 = 1 THEN 'ref_missing' WHEN event_type = 'view' THEN 'not_equal_to_ref' END]
+  WHEN 2 THEN ['path_missing', 'path_missing', 'path_missing', 'path_missing'] WHEN 4 THEN [NULL, 'invalid_regex_pattern', 'invalid_scope_pattern', CASE WHEN event_id % 2 = 1 THEN 'ref_missing' END]
+  ELSE ['invalid_target_type', 'invalid_target_type', 'invalid_target_type', CASE WHEN event_id % 2 = 1 THEN 'ref_missing' ELSE 'invalid_target_type' END] END"""
+
+
+@query(f"SELECT event_id, array_to_string(list_filter({_MIXED_KINDS}, lambda x: x IS NOT NULL), ',') AS kinds FROM events")
+def val_issue_kinds(spark, sf):
+    """Four rules over records whose field is a string, a number, missing or null, half of them with a reference."""
+    k = F.get_json_object("props", "$.k")
+    shapes = [F.concat(F.lit('{"t": "'), "event_type", F.lit('"}')), F.concat(F.lit('{"t": '), k, F.lit("}")), F.concat(F.lit('{"n": '), k, F.lit("}")), F.lit('{"t": null}'), F.lit('{"t": "click"}')]
+    df = table(spark, sf, "events").withColumn("other", F.when(F.col("event_id") % 2 == 0, '{"t": "view"}'))
+    v = df.select("event_id", paths.parse(F.element_at(F.array(*shapes), (F.col("event_id") % 5 + 1).cast("int"))).alias("v"), paths.parse(F.col("other")).alias("o"))
+    rules = [{"kind": "contains", "path": "t", "value": "i"}, {"kind": "regex", "path": "t", "pattern": "("},
+             {"kind": "not_equal_to_path", "path": "t", "otherPath": "t", "scope": {"includePattern": {"pattern": "("}}}, {"kind": "not_equal_to_ref", "path": "t", "ref": "other.t"}]
+    out = validators.with_issues(v, rules, "v", {"other": "o"}, "i")
+    return out.select("event_id", F.array_join(F.transform("i", lambda x: x["kind"]), ",").alias("kinds"))
+
+
+_WORD = "regexp_extract({}, '^[A-Za-z0-9_]+')"
+
+
+@query(
+    _TURN.replace("SELECT conv_id, turn, text", "SELECT conv_id, turn, role, text") + f""", f AS (SELECT *, {_WORD.format('text')} AS x, {_WORD.format('before')} AS y FROM p)
+    SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN role <> 'user' AND length(text) < 60 THEN 'min_length:say more:long' END,
+      CASE WHEN x = '' OR y = '' THEN 'scope_no_match::' WHEN {_norm('x')} = {_norm('y')} THEN 'not_equal_to_path::' END], lambda i: i IS NOT NULL), ',') AS issues FROM f"""
+)
+def val_when_scope_hint(spark, sf):
+    """A rule for all but one role, with hint and name, and a comparison of first words."""
+    df = table(spark, sf, "conversations").withColumn("before", F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit("")))
+    rules = [{"kind": "min_length", "path": "text", "value": 60, "hint": "say more", "name": "long", "when": {"path": "role", "notEquals": "user"}},
+             {"kind": "not_equal_to_path", "path": "text", "otherPath": "before", "scope": {"includePattern": {"pattern": "^\\w+"}}}]
+    v = df.select("conv_id", "turn", paths.parse(F.to_json(F.struct("role", "text", "before"))).alias("v"))
+    out = validators.with_issues(v, rules, "v", {}, "i")
+    said = F.transform("i", lambda x: F.concat(x["kind"], F.lit(":"), F.coalesce(x["hint"], F.lit("")), F.lit(":"), F.coalesce(x["ruleName"], F.lit(""))))
+    return out.select("conv_id", "turn", F.array_join(said, ",").alias("issues"))
+
+
+@query(f"""SELECT conv_id, turn, coalesce(detailed > 0.2, FALSE)::INT::BIGINT AS n_issues, CASE WHEN detailed > 0.2 THEN 'max_similarity_to_ref' END AS first_kind
+FROM conversations LEFT JOIN ({SQL['similarity_detailed']}) USING (conv_id, turn)""")
+def val_detailed_similarity(spark, sf):
+    w = Window.partitionBy("conv_id", "role").orderBy("turn")
+    df = table(spark, sf, "conversations").withColumn("before", F.lag("text").over(w))
+    other = F.when(F.col("before").isNotNull(), F.to_json(F.struct(F.col("before").alias("text"))))
+    rule = {"kind": "max_similarity_to_ref", "path": "text", "ref": "r.text", "threshold": 0.2, "similarity": {"mode": "detailed"}}
+    return judged(df, ["conv_id", "turn"], F.to_json(F.struct("text")), [rule], {"r": other}, skip=True)
+
+
 _FLAGSHIP = [{"kind": "min_length", "path": "text", "value": 40}, {"kind": "not_regex", "path": "text", "pattern": "###|\\$\\$\\$"}, {"kind": "max_similarity_to_ref", "path": "text", "ref": "previous_same_role_turn.text", "threshold": 0.3}]
 
 
@@ -357,6 +416,26 @@ def constrain_strip(spark, sf):
     return df.select("_ord", "event_id").join(done, "_ord").select("event_id", "kept")
 
 
+_KINDS = {"type": "object", "shape": {
+    "a": {"type": "number", "nullable": True, "min": 20}, "flag": {"type": "boolean", "optional": True}, "lit": {"type": "literal", "value": "on", "optional": True},
+    "list": {"type": "array", "optional": True, "maxItems": 3, "items": {"type": "object", "shape": {"n": {"type": "number"}}}},
+}}
+
+
+@query("""SELECT event_id, kept, CASE WHEN kept IS NULL THEN 'constrain_mismatch' END AS error FROM (SELECT event_id, CASE event_id % 6
+  WHEN 0 THEN CASE WHEN k >= 20 THEN '{"a":' || k || '}' END WHEN 1 THEN CASE WHEN k >= 20 THEN '{"a":' || k || ',"flag":true}' END
+  WHEN 2 THEN '{"a":null,"list":[{"n":' || k || '},{"n":5}]}' WHEN 4 THEN CASE WHEN k >= 20 THEN '{"a":' || k || ',"lit":"on"}' END END AS kept
+  FROM (SELECT event_id, (props->>'k')::INT AS k FROM events))""")
+def constrain_kinds(spark, sf):
+    """Optional, nullable, boolean, literal, array and nested fields; undeclared keys go, at any depth."""
+    k = F.get_json_object("props", "$.k")
+    ends = ["}", ', "flag": true, "x": 1}', None, ', "list": [{"n": 1}, {"n": 2}, {"n": 3}, {"n": 4}]}', ', "lit": "on"}', ', "lit": "off", "flag": "yes"}']
+    shapes = [F.concat(F.lit('{"a": '), k, F.lit(e)) if e else F.concat(F.lit('{"a": null, "list": [{"m": 0, "n": '), k, F.lit('}, {"n": 5}]}')) for e in ends]
+    v = table(spark, sf, "events").select("event_id", paths.parse(F.element_at(F.array(*shapes), (F.col("event_id") % 6 + 1).cast("int"))).alias("v"))
+    kept, error = constrain.columns(constrain.compile(_KINDS), F.col("v"))
+    return v.select("event_id", kept.alias("kept"), error.alias("error"))
+
+
 @query("""SELECT event_id, '{"k":' || (props->>'k') || '}' AS value FROM events""")
 def modeljson_parse(spark, sf):
     """Props in five kinds of noise."""
@@ -397,6 +476,16 @@ def jsonl_roundtrip(spark, sf):
     return out.join(first, ["conv_id", "idx"]).select("conv_id", "turn", "x.role", F.md5(F.col("x.text").cast("binary")).alias("digest"))
 
 
+@query("SELECT (n_nationkey - 2)::BIGINT AS ord, n_nationkey::BIGINT AS key, n_name AS name FROM nation WHERE n_nationkey BETWEEN 2 AND 21")
+def json_array_scan(spark, sf):
+    """Nations as one JSON array file, read from offset 2 on, 20 records."""
+    rows = F.array_sort(F.collect_list(F.struct("n_nationkey", F.to_json(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))).alias("j"))))
+    path = scratch_path(spark, "array") + ".json"
+    table(spark, sf, "nation").agg(F.concat(F.lit("[\n"), F.array_join(F.transform(rows, lambda r: r["j"]), ",\n"), F.lit("\n]")).alias("value")).write.text(path)
+    got = rec.load_records(spark, {"path": path, "offset": 2, "limit": 20})
+    return got.select(F.col("_ord").alias("ord"), F.from_json("_json", "key long, name string").alias("r")).select("ord", "r.key", "r.name")
+
+
 # --- rewrites and stages -----------------------------------------------------------------------------------------
 
 _REWRITE = {"instructions": "Say it louder", "transform": {"kind": "conversation_rewrite", "conversationsPath": "turns", "roleField": "role", "contentField": "text", "targetRoles": ["assistant"]}}
@@ -455,6 +544,67 @@ def rewrite_retry_stub(spark, sf):
     return _turn_digests(source.select("_ord", "conv_id").join(out.outputs["r"], "_ord"))
 
 
+def _own_folder(spark: SparkSession, name: str) -> str:
+    """A folder that the stream's files and workflow documents, which are opened as plain files, can be in."""
+    path = scratch_path(spark, name).removeprefix("file:")
+    path = "/" + path.lstrip("/") if path.startswith("/") else path
+    if "://" in path:
+        raise ValueError("spark.checkpoint.dir must be a mounted folder here")
+    os.makedirs(path)
+    return path
+
+
+@query(f"SELECT conv_id, {_IDX}, md5(trim(CASE WHEN role = 'assistant' THEN text || ' (louder)' ELSE text END)) AS digest FROM conversations")
+def stream_resume(spark, sf):
+    """Record batches with a checkpoint: the model fails from the middle record on, and a second run goes on from there."""
+    rows = rec.ordered(rec.turns_table(table(spark, sf, "conversations")), "conv_id")
+    marked = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit("#"), F.col("_ord").cast("string"), F.lit("#"), t["text"]).alias("text")))
+    folder, half = _own_folder(spark, "stream"), rows.count() // 2
+    rows.select("_ord", F.to_json(F.struct("conv_id", marked.alias("turns"))).alias("_json")).repartition(1).sortWithinPartitions("_ord").select("_json").write.text(f"file://{folder}/in")
+    source = glob.glob(f"{folder}/in/part-*.txt")[0]
+    document = {"input": {"path": source, "format": "jsonl", "readMode": "stream"}, "stages": [{"id": "r", "mode": "record_transform", **_REWRITE}]}
+
+    def failing(prompt: str) -> str:
+        out = _stub(prompt)
+        if int(out.split("#")[1]) >= half:
+            raise ModelError("HTTP 500")
+        return out
+
+    to = {"options": ModelOptions(), "output": f"{folder}/out", "checkpoint": f"{folder}/at.json", "every": max(1, half // 2 + 1)}
+    try:
+        run_stream(spark, document, "flow", StubClient(failing), **to)
+        raise AssertionError("the failing model was not asked")
+    except StageError:
+        run_stream(spark, document, "flow", StubClient(_stub), **to, resume=True)
+    t = spark.read.text(f"file://{folder}/out").select(F.from_json("value", "conv_id long, turns array<struct<role:string,text:string>>").alias("r"))
+    t = t.select("r.conv_id", F.posexplode("r.turns").alias("idx", "x"))
+    return t.select("conv_id", F.col("idx").cast("long").alias("idx"), F.md5(F.trim(F.regexp_replace("x.text", "^#[0-9]+#", "")).cast("binary")).alias("digest"))
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS ord, upper(n_name) AS name, n_regionkey::BIGINT AS region FROM nation")
+def delegate_stub(spark, sf):
+    """A workflow file that hands a list to another file's workflow, and takes the output of its last stage."""
+    rows = [{"name": r.n_name, "region": r.n_regionkey} for r in table(spark, sf, "nation").orderBy("n_nationkey").collect()]  # the first stage's one answer
+
+    def stub(prompt: str) -> str:
+        mark = "Current Iter Item (JSON):\n"
+        if mark in prompt:
+            item = js.parse_json(prompt[prompt.index(mark) + len(mark) : prompt.index("\n\nOutput Contract:")])
+            return js.to_json({"name": item["name"].upper(), "region": item["region"]})
+        return js.to_json({"items": rows}) if "Seed" in prompt else js.to_json(rows)
+
+    folder = _own_folder(spark, "flows")
+    child = {"model": "m", "stages": [{"id": "take", "instructions": "Take"}, {"id": "each", "mode": "iter", "instructions": "Shout"}]}
+    block = {"workflowPath": "child.yaml", "inputFromPath": "outputsByStage.seed.items"}
+    parent = {"model": "m", "stages": [{"id": "seed", "instructions": "Seed"}, {"id": "d", "instructions": "Hand over", "mode": "workflow_delegate", "delegate": block}]}
+    for name, document in (("child", child), ("parent", parent)):
+        with open(f"{folder}/{name}.yaml", "w", encoding="utf-8") as f:
+            f.write(js.to_json(document))
+    out = WorkflowRunner(spark, StubClient(stub)).run(f"{folder}/parent.yaml", artifacts=False)[0].outputs["d"]
+    got = out if isinstance(out, DataFrame) else rec.records_of(spark, out)
+    return got.select(F.col("_ord").alias("ord"), F.from_json("_json", "name string, region long").alias("r")).select("ord", "r.name", "r.region")
+
+
 @query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS ord, upper(n_name) AS name, n_regionkey::BIGINT AS region FROM nation")
 def iter_stub(spark, sf):
     """batch, then iter over its array with a constraint, then both seen by a gate."""

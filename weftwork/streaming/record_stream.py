@@ -134,7 +134,7 @@ def run_stream(spark: SparkSession, document: dict, pipeline: str, client: Model
     """Rewrite the records of a one-stage workflow.  output: a folder of JSON lines files.  Returns counters and
     warnings.  The original window (offset, limit) also bounds a resumed run."""
     source, stage = document["input"], document["stages"][0]
-    if infer_format(source["path"]) != "jsonl" and source.get("format") != "jsonl":
+    if (source.get("format") or infer_format(source["path"])) != "jsonl":
         raise InputDatasetValidationError(f"readMode=stream is currently only supported for jsonl input: {source['path']}")
     key, first = stage.get("id") or stage.get("name") or "stage-1", source.get("offset", 0)
     end = first + source["limit"] if "limit" in source else None
