@@ -177,6 +177,39 @@ def test_pairs_order_the_scores():
     assert ((s >= Q.AT) == y).mean() > 0.9 and abs((s < Q.AT).mean() - (y == 0).mean()) < 0.02
 
 
+def test_weights_are_the_minimum_over_all_pairs():
+    """Against the list of all pairs; scores of the second setting span many panels."""
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(500, Q.FEATURES))
+    x[400:] = x[:100]  # ties
+    y = (x[:, 0] - x[:, 3] + rnd.normal(0, 0.1, 500) > -1).astype(int)
+    y[400:] = y[:100]
+    for l2 in (1e-3, 1e-6):
+        r = Q.train(x, y, l2=l2)
+        s, z = r.raw(x), Q._wide(x, x.mean(axis=0), x.std(axis=0) + 1e-6)
+        lost = 1 / (1 + np.exp(s[y == 1][:, None] - s[y == 0][None]))
+        slope = (z[y == 0].T @ lost.sum(axis=0) - z[y == 1].T @ lost.sum(axis=1)) / lost.size + l2 * r.weights
+        assert np.abs(slope).max() < 1e-11
+        assert abs(r.threshold - np.quantile(s, (y == 0).mean())) < 1e-12
+        assert l2 == 1e-3 or np.ptp(s) > 40
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """7000 labels and four documents of each: all 28,000 are in the mean, and the ranker is that of all rows at hand."""
+    def text(i):
+        return " ".join(f"w{i % 7}{j}" if i % 3 else "A #" for j in range(1 + i * 7919 % 13)) + "!" * (i % 5)
+
+    docs = spark.range(7000).collect()
+    docs = spark.createDataFrame([(r.id, text(r.id + 7000 * k)) for r in docs for k in range(4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i * 31 % 100 < 60 + 30 * (i % 3 > 0))) for i in range(7000)], "doc_id long, quality int")
+    rows = docs.join(labels, "doc_id").collect()
+    x, y = Q.feature_rows([r.text.encode() for r in rows]), np.array([r.quality for r in rows])
+    got, want = Q.fit(docs, labels, F.lit(True)), Q.train(x, y)
+    assert len(rows) == 28_000 and np.allclose(got.mean, x.mean(axis=0), rtol=1e-12, atol=1e-12)
+    assert np.allclose(got.weights, want.weights, atol=1e-9) and abs(got.slope - want.slope) < 1e-9
+    assert abs(got.threshold - np.quantile(want.raw(x), (y == 0).mean())) < 1e-9
+
+
 def slow_statistics(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
